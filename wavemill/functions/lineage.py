@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back: later plans start from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table into the shared folder and read back: later plans start from its files.
+
+    Unlike ``checkpoint()`` the result carries no constraints of its former plan; in loops of joins these
+    grow with every round until planning stands still. The files go when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/wavemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
