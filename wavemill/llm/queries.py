@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavemill.llm import sampling, splits
+from wavemill.llm import leaks, quality, sampling, splits, tokens
 from wavemill.sources.tables import table
 
 
@@ -30,6 +30,28 @@ def p4_plans(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_plans(table(spark, d, "subject_plans")).select("plan_id", "subject", "wave")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with its best score and longest run of words."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p8_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of every document."""
+    return quality.text_figures(table(spark, d, "documents"))
+
+
 def _sample_sql(select: str, group: str = "") -> str:
     steps = sampling.feistel_sql("n", 42)
     number = r"try_cast(regexp_extract(subject, '(\d+)\D*$', 1) as bigint)"
@@ -41,7 +63,9 @@ def _sample_sql(select: str, group: str = "") -> str:
     return f"select {select} from ({sql}) where l * {1 << sampling.HALF_BITS} + r < {limit} {group}"
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p4_sample, p4_plans)}
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_split, p4_sample, p4_plans, p6_ids, p7_found, p7_leaks, p8_found, p8_figures,
+)}
 
 SQL = {
     "p4_sample": _sample_sql("n as subject_no, min(wave) as first_wave, count(*) as n_plans", "group by n"),
