@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from wavemill.plans import numbered
+from wavemill.plans import numbered, signals
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "first_failing_rule"
+_PARTS = (signals.REG,)
 QUERIES = {**numbered.QUERIES}
 SQL = {**numbered.SQL}
+for _part in _PARTS:
+    QUERIES |= _part.queries
+    SQL |= _part.sql
