@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wavemill.plans import numbered, signals
+from wavemill.plans import numbered, relations, signals
 
 FLAGSHIP = "first_failing_rule"
-_PARTS = (signals.REG,)
+_PARTS = (signals.REG, relations.REG)
 QUERIES = {**numbered.QUERIES}
 SQL = {**numbered.SQL}
 for _part in _PARTS:

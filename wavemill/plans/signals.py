@@ -49,13 +49,13 @@ def _flags(t: Tables) -> DataFrame:
     )
 
 
-@REG.add(_BLK + " select rec_id, channel, block, round(rms, 4) as rms, round(ptp, 4) as ptp from blk")
+@REG.add(_BLK + " select rec_id, channel, block, ptp, round(rms / ptp, 6) as crest from blk where ptp > 0")
 def block_rms_ptp(t: Tables) -> DataFrame:
     """RMS and peak-to-peak of complete blocks (WIN1, AGG1)."""
-    return _blocks(t).select(*KEY, "block", F.round("rms", 4).alias("rms"), F.round("ptp", 4).alias("ptp"))
+    return _blocks(t).filter("ptp > 0").select(*KEY, "block", "ptp", F.round(F.col("rms") / F.col("ptp"), 6).alias("crest"))
 
 
-@REG.add(_BLK + " select rec_id, channel, count(*) as blocks, count_if(ptp = 0) as flat from blk group by all")
+@REG.add(_BLK + " select rec_id, channel, count(*) as blocks, count_if(ptp = 0)::bigint as flat from blk group by all")
 def flat_block_count(t: Tables) -> DataFrame:
     """Blocks without any change (AGG2)."""
     return _blocks(t).groupBy(*KEY).agg(F.count("*").alias("blocks"), F.count_if(F.col("ptp") == 0).alias("flat"))
@@ -109,12 +109,12 @@ def dilate_flags(t: Tables) -> DataFrame:
 @REG.add(
     _FLAG + ", d as (select rec_id, channel, block, least(block - last_value(case when hot then block end ignore nulls) over (partition by rec_id, channel order by block rows between unbounded preceding and current row), "
     "first_value(case when hot then block end ignore nulls) over (partition by rec_id, channel order by block rows between current row and unbounded following) - block) as distance from f) "
-    f"select rec_id, channel, block, distance, round(case when distance <= 2 then 0.5 * (1 + cos({pi} * distance / 3)) else 0 end, 6) as weight from d"
+    f"select rec_id, channel, block, coalesce(distance, -1) as distance, round(case when distance <= 2 then 0.5 * (1 + cos({pi} * distance / 3)) else 0 end, 6) as weight from d"
 )
 def distance_to_flag_weight(t: Tables) -> DataFrame:
     """Blocks to the nearest hot block, and a raised-cosine weight (WIN5)."""
     d = B.flag_distance(_flags(t), KEY, "block", "hot")
-    return d.select(*KEY, "block", "distance", F.round(B.raised_cosine(F.col("distance"), 2), 6).alias("weight"))
+    return d.select(*KEY, "block", F.coalesce("distance", F.lit(-1)).alias("distance"), F.round(B.raised_cosine(F.col("distance"), 2), 6).alias("weight"))
 
 
 @REG.add(
@@ -129,7 +129,7 @@ def multi_rule_reject(t: Tables) -> DataFrame:
 
 @REG.add(
     _FLAG + ", v as (select * from (values ('normal', 2.0), ('strict', 1.5)) as v(variant, times)) "
-    "select variant, rec_id, count(*) as blocks, count_if(ptp > times * m) as rejected from f, v group by all"
+    "select variant, rec_id, count(*) as blocks, count_if(ptp > times * m)::bigint as rejected from f, v group by all"
 )
 def strict_variant(t: Tables) -> DataFrame:
     """The same rule with each variant's limit (FLT5, JN10)."""
@@ -141,7 +141,7 @@ def strict_variant(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    _FLAG + ", c as (select rec_id, channel, count(*) as n, count_if(hot) as hot, count_if(flat) as flat from f group by all), "
+    _FLAG + ", c as (select rec_id, channel, count(*) as n, count_if(hot)::bigint as hot, count_if(flat)::bigint as flat from f group by all), "
     "r as (select rec_id, bool_or(flat > 0) as electrode, bool_or(hot * 10 > n) as excess, min(n - hot) as clean from c group by all) "
     "select rec_id, case when electrode then 'bad_electrode' when excess then 'blink_excess' when clean < 5 then 'too_little' else 'ok' end as decision from r"
 )
@@ -161,7 +161,7 @@ def first_failing_rule(t: Tables) -> DataFrame:
     _S + ", g as (select *, case when idx - lag(idx) over w > 1 then 1 else 0 end as b, row_number() over w as n from s window w as (partition by rec_id, channel order by idx)), "
     "h as (select *, sum(b) over (partition by rec_id, channel order by idx) as segment from g), "
     "k as (select *, row_number() over (partition by rec_id, channel, segment order by idx) > 4 and n > 20 as kept from h) "
-    "select rec_id, channel, max(segment) + 1 as segments, count(*) as n, count_if(kept) as kept from k group by all"
+    "select rec_id, channel, (max(segment) + 1)::bigint as segments, count(*) as n, count_if(kept)::bigint as kept from k group by all"
 )
 def scoring_mask(t: Tables) -> DataFrame:
     """Samples kept beyond the burn-in of segment and series (WIN9, WIN10)."""
@@ -202,13 +202,13 @@ def fractional_lag(t: Tables) -> DataFrame:
 
 @REG.add(
     _S + ", l as (select rec_id, channel, idx, x, lag(x) over w as a, lag(idx) over w as ia, lead(x) over w as b, lead(idx) over w as ib from s window w as (partition by rec_id, channel order by idx)) "
-    "select rec_id, channel, idx, round((b - a) / 2, 6) as slope, round(a * 0.25 + x * 0.5 + b * 0.25, 6) as smooth from l where ia = idx - 1 and ib = idx + 1"
+    "select rec_id, channel, idx, (b - a) / 2 as slope, a * 0.25 + x * 0.5 + b * 0.25 as smooth from l where ia = idx - 1 and ib = idx + 1"
 )
 def fir_derivative(t: Tables) -> DataFrame:
     """Central difference and matched smoothing where the kernel fits (WIN8)."""
     s = B.fir(_clean(t), KEY, "idx", "x", {-1: 0.5, 1: -0.5}, "slope")
     s = B.fir(s, KEY, "idx", "x", {1: 0.25, 0: 0.5, -1: 0.25}, "smooth")
-    return s.filter("slope is not null").select(*KEY, "idx", F.round("slope", 6).alias("slope"), F.round("smooth", 6).alias("smooth"))
+    return s.filter("slope is not null").select(*KEY, "idx", "slope", "smooth")
 
 
 @REG.add(
@@ -254,14 +254,14 @@ def bipolar(t: Tables) -> DataFrame:
 
 @REG.add(
     _S + ", e as (select rec_id, channel, min(idx) as lo, max(idx) as hi from s group by all) "
-    "select rec_id, channel, count(*) as n, round(avg(x), 4) as mean from s join e using (rec_id, channel) where idx between lo + 8 and hi - 8 group by all"
+    "select rec_id, channel, count(*) as n, round(avg(x) / max(abs(x)), 6) as mean from s join e using (rec_id, channel) where idx between lo + 8 and hi - 8 group by all"
 )
 def edge_trim(t: Tables) -> DataFrame:
     """Series without eight samples at either end (PRJ2)."""
     s = _clean(t)
     e = s.groupBy(*KEY).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
     inside = s.join(e, KEY).filter(F.col("idx").between(F.col("lo") + 8, F.col("hi") - 8))
-    return inside.groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"))
+    return inside.groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.avg("x") / F.max(F.abs("x")), 6).alias("mean"))
 
 
 @REG.add(
