@@ -26,3 +26,16 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str = "
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .select(*df.columns, name)
     )
+
+
+def ordered_rank(df: DataFrame, order: str, name: str = "rank", width: int = 4096) -> DataFrame:
+    """Number all rows from 1 in the order of a unique whole-number column.
+
+    Rows are cut into spans of ``width`` values; a task sorts one span, and one row a span gets its offset.
+    """
+    spans = df.withColumn("_span", F.floor(F.col(order) / width))
+    counts = spans.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_span").orderBy(order)
+    return spans.join(offsets, "_span").withColumn(name, F.col("_offset") + F.row_number().over(inside)).select(*df.columns, name)

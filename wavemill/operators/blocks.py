@@ -58,9 +58,13 @@ def islands(df: DataFrame, key: list[str], order: list[str], value: str) -> Data
 
 
 def dilate(df: DataFrame, key: list[str], order: str, flag: str, pad: int, name: str = "dilated") -> DataFrame:
-    """True where any row within ``pad`` index steps is flagged."""
-    w = Window.partitionBy(*key).orderBy(order).rangeBetween(-pad, pad)
-    return df.withColumn(name, F.max(F.col(flag)).over(w))
+    """True where any row within ``pad`` index steps is flagged. Flagged rows mark their neighbours in one
+    aggregation by key and index; no task sorts a series."""
+    reach = F.when(F.col(flag), F.sequence(F.col(order) - pad, F.col(order) + pad))
+    marks = df.select(*key, F.explode(reach).alias(order), F.lit(True).alias("_m"), F.lit(False).alias("_own"))
+    own = df.select(*key, order, F.lit(False).alias("_m"), F.lit(True).alias("_own"))
+    both = own.unionByName(marks).groupBy(*key, order).agg(F.bool_or("_m").alias(name), F.bool_or("_own").alias("_own"))
+    return both.filter("_own").drop("_own")
 
 
 def flag_distance(df: DataFrame, key: list[str], order: str, flag: str, name: str = "distance") -> DataFrame:
@@ -104,13 +108,28 @@ def first_n(df: DataFrame, key: list[str], draw: list[str], n: int, eligible: Co
 
 
 def lagged(df: DataFrame, key: list[str], order: str, x: str, lags: list[int]) -> DataFrame:
-    """Adds ``x_k``, the value ``k`` index steps earlier, for each lag (negative: later). A gap in the index
-    gives null, so that no lag crosses it."""
-    w = Window.partitionBy(*key).orderBy(order)
-    for k in lags:
-        same = F.lag(order, k).over(w) == F.col(order) - k
-        df = df.withColumn(f"{x}_{k}".replace("-", "m"), F.when(same, F.lag(x, k).over(w)))
-    return df
+    """Adds ``x_k``, the value ``k`` index steps earlier, for each lag (negative: later, ``x_m1``). A gap in the
+    index gives null, so that no lag crosses it. The index is unique within a key.
+
+    Every value is sent to the indices that need it and one aggregation by key and index gathers them: no task
+    sorts a series, however long.
+    """
+    rest = [c for c in df.columns if c not in {*key, order}]
+    row = F.struct(*rest)
+    nothing = F.lit(None).cast(df.select(row).schema[0].dataType)
+    steps = range(min([0, *lags]), max([0, *lags]) + 1)  # those between say whether there is a gap
+    sent = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.lit(k == 0), row).otherwise(nothing).alias("row")) for k in steps]))
+    moved = df.select(*key, order, F.col(x).alias("_x"), sent.alias("_s")).withColumn(order, F.col(order) + F.col("_s.k"))
+    at = [F.max(F.when(F.col("_s.k") == k, F.struct(F.col("_x").alias("v")))).alias(f"_at_{k}") for k in steps]
+    gathered = moved.groupBy(*key, order).agg(F.max("_s.row").alias("_row"), *at).filter("_row is not null")
+
+    def value(k: int) -> Column:
+        whole = F.lit(True)
+        for j in range(min(k, 0), max(k, 0) + 1):
+            whole = whole & F.col(f"_at_{j}").isNotNull()
+        return F.when(whole, F.col(f"_at_{k}.v")).alias(f"{x}_{k}".replace("-", "m"))
+
+    return gathered.select(*key, order, *[F.col(f"_row.{c}").alias(c) for c in rest], *[value(k) for k in lags])
 
 
 def fractional_lag(df: DataFrame, key: list[str], order: str, x: str, delay: float, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.ranking import salted_rank
+from wavemill.functions.ranking import ordered_rank
 
 MAD_SCALE = 1.4826
 
@@ -78,14 +78,13 @@ def drawn(b: Column, slot: Column, n: Column) -> Column:
     return h % n
 
 
-def resamples(values: DataFrame, order: list[str], columns: list[str], b: int) -> DataFrame:
+def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> DataFrame:
     """``b`` bootstrap resamples of the rows of a small or large table: columns ``b`` and ``columns``.
 
-    Rows are numbered by ``order`` in hash buckets, each slot of each resample draws a number, and one join
-    brings the drawn rows; the work is b × rows, spread over the slots.
+    Rows are numbered by ``order``, a unique whole number; each slot of each resample draws a number, and one
+    join brings the drawn rows; the work is b × rows, spread over the slots.
     """
-    one = values.withColumn("_one", F.lit(1))
-    numbered = salted_rank(one, ["_one"], order).select((F.col("rank") - 1).alias("_i"), *columns)
+    numbered = ordered_rank(values, order).select((F.col("rank") - 1).alias("_i"), *columns)
     n = numbered.agg(F.count("*").alias("_n"))
     slots = numbered.select(F.col("_i").alias("_slot")).join(F.broadcast(n))  # one row
     draws = slots.select("_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))

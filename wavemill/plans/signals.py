@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.operators import blocks as B
+from wavemill.operators import filters as FI
 from wavemill.operators import rules as R
 from wavemill.operators import spectral as P
 from wavemill.operators import stats as S
@@ -64,7 +65,7 @@ def flat_block_count(t: Tables) -> DataFrame:
 @REG.add(
     _S + ", c as (select rec_id, channel, median(x) as m from s group by all), "
     "d as (select rec_id, channel, 1.4826 * median(abs(x - m)) as r from s join c using (rec_id, channel) group by all) "
-    "select rec_id, channel, count(*) as n, count_if(abs(x - m) > 6 * r) as outside from s join c using (rec_id, channel) join d using (rec_id, channel) group by all"
+    "select rec_id, channel, count(*) as n, count_if(abs(x - m) > 6 * r)::bigint as outside from s join c using (rec_id, channel) join d using (rec_id, channel) group by all"
 )
 def robust_sd_flags(t: Tables) -> DataFrame:
     """Samples beyond six robust SDs of the median (AGG3 and the blink predicate of DSP5)."""
@@ -399,3 +400,38 @@ def welch_shares(t: Tables) -> DataFrame:
     w = p.groupBy(*KEY, "k").agg(F.avg("power").alias("p"))
     total = w.groupBy(*KEY).agg(F.sum("p").alias("total"))
     return w.join(total, KEY).filter("total > 1e-9").select(*KEY, F.col("k").cast("long").alias("k"), F.round(F.col("p") / F.col("total"), 6).alias("share"))
+
+
+def _scaled(t: Tables) -> DataFrame:
+    """Series in units of their own SD, so that results of all units compare."""
+    return S.rescale(_clean(t), KEY, "x", 0.0, 1.0, "z").filter("z is not null").select(*KEY, "idx", F.col("z").alias("x"))
+
+
+@REG.add()
+def band_pass(t: Tables) -> DataFrame:
+    """Each series between 0.5 and 45 Hz at 256 Hz (DSP1, DSP4)."""
+    return FI.filtered(_scaled(t), KEY, 256.0, FI.butterworth(0.5, 45.0, 4)).select(*KEY, "idx", F.round("y", 6).alias("y"))
+
+
+@REG.add()
+def notch_50(t: Tables) -> DataFrame:
+    """Each series without mains hum (DSP2)."""
+    return FI.filtered(_scaled(t), KEY, 256.0, FI.notch(50.0, 30.0)).select(*KEY, "idx", F.round("y", 6).alias("y"))
+
+
+@REG.add()
+def fft_downsample(t: Tables) -> DataFrame:
+    """Each series at a quarter of its rate (DSP3)."""
+    return FI.downsampled(_scaled(t), KEY, 256.0, 4).select(*KEY, "idx", F.round("y", 6).alias("y"))
+
+
+@REG.add()
+def aaft_surrogate(t: Tables) -> DataFrame:
+    """One surrogate of each series, block by block (DSP13)."""
+    return FI.surrogates(_scaled(t), KEY, 42).select(*KEY, "idx", F.round("y", 6).alias("y"))
+
+
+@REG.add()
+def tv_derivative(t: Tables) -> DataFrame:
+    """Total-variation derivatives of 32-sample windows (DSP15)."""
+    return FI.derivative(_scaled(t), KEY, 0.1).select(*KEY, "window", "step", F.round("slope", 4).alias("slope"))
