@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wavemill.plans import numbered, relations, signals, statistics
+from wavemill.plans import events, numbered, relations, signals, statistics
 
 FLAGSHIP = "first_failing_rule"
-_PARTS = (signals.REG, relations.REG, statistics.REG)
+_PARTS = (signals.REG, relations.REG, statistics.REG, events.REG)
 QUERIES = {**numbered.QUERIES}
 SQL = {**numbered.SQL}
 for _part in _PARTS:

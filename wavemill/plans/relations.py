@@ -402,3 +402,21 @@ def manifest_digest(t: Tables) -> DataFrame:
     return d.groupBy(F.split("rel_path", "/")[0].alias("subject")).agg(
         F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"), F.sum(F.conv(F.left("sha256", F.lit(7)), 16, 10).cast("long")).alias("checksum")
     )
+
+
+@REG.add(
+    "with b as (select *, min(p_retailprice) over (partition by p_brand order by p_size, p_retailprice, p_partkey rows between unbounded preceding and 1 preceding) as best from part), "
+    "f as (select p_brand, p_retailprice, row_number() over (partition by p_brand order by p_size, p_partkey) as pos from b where best is null or p_retailprice < best) "
+    "select a.p_brand, b.p_brand as other, count(*) as same_places, bool_and(abs(a.p_retailprice - b.p_retailprice) <= 0.05 * abs(b.p_retailprice)) as equivalent "
+    "from f a join f b on a.pos = b.pos and b.p_brand = case a.p_brand when 'Brand#1' then 'Brand#2' when 'Brand#2' then 'Brand#3' when 'Brand#3' then 'Brand#1' end group by all"
+)
+def front_comparison(t: Tables) -> DataFrame:
+    """Fronts compared place by place within a tolerance (KER19)."""
+    front = R.pareto(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey")
+    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))
+    f = front.select("p_brand", "p_retailprice", pos.alias("pos"))
+    nxt = F.create_map(*[F.lit(x) for pair in (("Brand#1", "Brand#2"), ("Brand#2", "Brand#3"), ("Brand#3", "Brand#1")) for x in pair])
+    a = f.withColumn("other", nxt[F.col("p_brand")]).filter("other is not null")
+    b = f.select(F.col("p_brand").alias("other"), F.col("p_retailprice").alias("q"), "pos")
+    close = F.abs(F.col("p_retailprice") - F.col("q")) <= 0.05 * F.abs("q")
+    return a.join(b, ["other", "pos"]).groupBy("p_brand", "other").agg(F.count("*").alias("same_places"), F.bool_and(close).alias("equivalent"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.operators import blocks as B
 from wavemill.operators import filters as FI
 from wavemill.operators import rules as R
 from wavemill.operators import spectral as P
+from wavemill.operators import states as ST
 from wavemill.operators import stats as S
 from wavemill.plans.registry import Registry, Tables
 
@@ -435,3 +436,61 @@ def aaft_surrogate(t: Tables) -> DataFrame:
 def tv_derivative(t: Tables) -> DataFrame:
     """Total-variation derivatives of 32-sample windows (DSP15)."""
     return FI.derivative(_scaled(t), KEY, 0.1).select(*KEY, "window", "step", F.round("slope", 4).alias("slope"))
+
+
+@REG.add()
+def nis_by_q(t: Tables) -> DataFrame:
+    """Mean normalised innovation of each series for each q of a grid (KER7 re-aimed, AGG8, JN10)."""
+    return ST.nis_by_q(_scaled(t), KEY, [0.001, 0.01, 0.1, 1.0], 0.25).select(*KEY, "q", F.round("nis", 6).alias("nis"))
+
+
+@REG.add()
+def chosen_q(t: Tables) -> DataFrame:
+    """The q whose innovations are nearest their expectation (TOP2)."""
+    return ST.choose_q(ST.nis_by_q(_scaled(t), KEY, [0.001, 0.01, 0.1, 1.0], 0.25), 1.0, 15).withColumn("nis", F.round("nis", 6))
+
+
+@REG.add()
+def smoothed_level(t: Tables) -> DataFrame:
+    """Smoothed levels of complete blocks (KER8 re-aimed)."""
+    return ST.smoothed(_scaled(t), KEY, 0.1, 0.25).select(*KEY, "block", "step", F.round("level", 6).alias("level"))
+
+
+@REG.add(
+    _S + ", a as (select rec_id, idx, x from s where channel = 0), b as (select rec_id, idx, x from s where channel = 1), "
+    "l as (select rec_id, idx, x, lag(x) over w as p, lag(idx) over w as ip, lead(x) over w as n, lead(idx) over w as inx from a window w as (partition by rec_id order by idx)) "
+    "select l.rec_id, l.idx, l.x as u_tgt, b.x as u_src, (n - p) / 2 as y from l join b on b.rec_id = l.rec_id and b.idx = l.idx - 2 where ip = l.idx - 1 and inx = l.idx + 1"
+)
+def residual_rows(t: Tables) -> DataFrame:
+    """Regression rows: a channel's derivative with its own value and the other's delayed one (KER15)."""
+    s = _clean(t)
+    a = B.fir(s.filter("channel = 0").select("rec_id", "idx", "x"), ["rec_id"], "idx", "x", {-1: 0.5, 1: -0.5}, "y").filter("y is not null")
+    b = s.filter("channel = 1").select("rec_id", (F.col("idx") + 2).alias("idx"), F.col("x").alias("u_src"))
+    return a.join(b, ["rec_id", "idx"]).select("rec_id", "idx", F.col("x").alias("u_tgt"), "u_src", "y")
+
+
+@REG.add(
+    _BLK + ", e as (select *, max(block) over (partition by rec_id, channel) as last from blk), m as (select rec_id, channel, median(ptp) as m from blk group by all) "
+    "select rec_id, channel, case when max(ptp) > 1.5 * any_value(m) then 'wide' else 'settled' end as regime from e join m using (rec_id, channel) where block > last - 3 group by all"
+)
+def regime_label(t: Tables) -> DataFrame:
+    """A label from the span of a series' last blocks (KER5)."""
+    b = _blocks(t)
+    m = b.groupBy(*KEY).agg(F.median("ptp").alias("m"), F.max("block").alias("last"))
+    tail = b.join(m, KEY).filter(F.col("block") > F.col("last") - 3)
+    wide = F.max("ptp") > 1.5 * F.first("m")
+    return tail.groupBy(*KEY).agg(F.when(wide, "wide").otherwise("settled").alias("regime"))
+
+
+@REG.add(
+    _BLK + ", c as (select rec_id, channel, median(mean) as m from blk group by all), q as (select blk.rec_id, blk.channel, block, sign(mean - m) as s, lag(sign(mean - m)) over (partition by blk.rec_id, blk.channel order by block) as p from blk join c using (rec_id, channel)) "
+    "select rec_id, channel, count_if(s * p < 0)::bigint as roots from q group by all"
+)
+def sign_changes(t: Tables) -> DataFrame:
+    """Sign changes of block means around their median: the bracket scan of a root search (KER3)."""
+    b = _blocks(t)
+    c = b.groupBy(*KEY).agg(F.median("mean").alias("m"))
+    s = F.signum(F.col("mean") - F.col("m"))
+    w = Window.partitionBy(*KEY).orderBy("block")
+    q = b.join(c, KEY).withColumn("s", s).withColumn("p", F.lag("s").over(w))
+    return q.groupBy(*KEY).agg(F.count_if(F.col("s") * F.col("p") < 0).alias("roots"))
