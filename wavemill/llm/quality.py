@@ -140,11 +140,11 @@ def _repeated(words: list[str]) -> bool:
     return len(words) >= 12 and len(set(words)) <= max(2, min(8, 0.15 * len(words)))
 
 
-def figures(text: str | None) -> dict:
-    """All figures of a text; the counts are over the whole text, the kind over its part outside code."""
+def counts(text: str | None) -> tuple[dict, list[np.ndarray] | None]:
+    """The figures of a whole text, and the three distributions of its part outside code (None without one)."""
     out = dict.fromkeys(("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "divergence", "kind"))
     if text is None:
-        return out
+        return out, None
     shown = _HIDDEN.sub("", text)
     words = _WORD.findall(shown)
     lines = [x for x in _BREAK.split(shown) if x.strip()]
@@ -156,7 +156,7 @@ def figures(text: str | None) -> dict:
     out["common_words"] = sum(w.lower() in COMMON for w in words) / len(words) if words else None
     body = outside_code(text)
     if not body:  # null, blank, or nothing outside code
-        return out
+        return out, None
     rows = _row_lines(body)
     kinds, tokens = np.zeros(4), np.zeros(4)
     all_words: list[str] = []
@@ -192,27 +192,38 @@ def figures(text: str | None) -> dict:
         kinds = np.array([0.0, 0.0, 0.0, 1.0])
     if kinds[1] and short and len(body) < 3:  # one or two short lines are no list
         kinds[0], kinds[1] = kinds[0] + kinds[1], 0
-    kind, far = nearest(kinds, tokens, chars)
-    out["kind"], out["divergence"] = kind, far
-    return out
+    return out, [kinds, tokens, chars]
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen–Shannon divergence in bits of two distributions given as counts or shares."""
-    p, q = p / p.sum(), q / q.sum()
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen–Shannon divergence in bits of each row of counts ``p`` from the shares ``q``; 0 for rows of zeros."""
+    total = p.sum(1, keepdims=True)
+    p = p / np.where(total > 0, total, 1)
     m = (p + q) / 2
-    half = lambda a: float(np.sum(a[a > 0] * np.log2(a[a > 0] / m[a > 0])))
-    return (half(p) + half(q)) / 2
+    part = np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / m), 0.0).sum(1) + (q * np.log2(q / m)).sum(1)
+    return np.where(total[:, 0] > 0, part / 2, 0.0)
+
+
+def nearest(lines: np.ndarray, tokens: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the place of the nearest profile and its weighted divergence; ties go to the earlier one."""
+    scored = np.stack([sum(w * divergence(x, np.array(q)) for w, x, q in zip(WEIGHTS, (lines, tokens, chars), p[1:])) for p in PROFILES], 1)
+    best = scored.argmin(1)
+    return best, scored[np.arange(len(best)), best]
 
 
-def nearest(lines: np.ndarray, tokens: np.ndarray, chars: np.ndarray) -> tuple[str, float]:
-    """The kind of the nearest profile and its weighted divergence; ties go to the earlier profile."""
-    scored = []
-    for kind, *profile in PROFILES:
-        parts = [divergence(x, np.array(p)) if x.sum() else 0.0 for x, p in zip((lines, tokens, chars), profile)]
-        scored.append((sum(w * x for w, x in zip(WEIGHTS, parts)), kind))
-    best = min(scored, key=lambda s: s[0])
-    return best[1], best[0]
+def figures_of(texts: list[str | None]) -> list[dict]:
+    """All figures of each text; the kinds of all texts are told at once."""
+    found = [counts(t) for t in texts]
+    told = [k for k, (_, parts) in enumerate(found) if parts is not None]
+    if told:
+        best, far = nearest(*[np.stack([found[k][1][i] for k in told]) for i in range(3)])
+        for k, b, f in zip(told, best, far):
+            found[k][0].update(kind=PROFILES[b][0], divergence=float(f))
+    return [out for out, _ in found]
+
+
+def figures(text: str | None) -> dict:
+    return figures_of([text])[0]
 
 
 FIGURES = (
@@ -231,7 +242,7 @@ def text_figures(documents: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = pd.DataFrame([figures(t) for t in rows["text"]], columns=[c.split()[0] for c in FIGURES.split(", ")])
+            found = pd.DataFrame(figures_of(list(rows["text"])), columns=[c.split()[0] for c in FIGURES.split(", ")])
             found.insert(0, "doc_id", rows["doc_id"].to_numpy())
             found["words"] = found["words"].astype("Int64")
             yield found
