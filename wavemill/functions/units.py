@@ -13,18 +13,18 @@ CLASSES = ("uV", "mV", "V", "nV", "count")
 
 #: Patterns of the units, tried in this order (on text in lower case).
 PATTERNS = (
-    ("mV", r"(?:10\s*\^?\s*[-−]3\s*|thousandths? of an? )v(?:olts?)?(?!\p{L})"),
-    ("uV", r"(?:10\s*\^?\s*[-−]6\s*|millionths? of an? )v(?:olts?)?(?!\p{L})"),
-    ("nV", r"(?:10\s*\^?\s*[-−]9\s*|billionths? of an? )v(?:olts?)?(?!\p{L})"),
-    ("mV", r"(?<!\p{L})m(?:illi)?[- ]?v(?:olts?)?(?!\p{L})"),
-    ("uV", r"(?<!\p{L})(?:[uµμ]|micro|mikro)[- ]?v(?:olts?)?(?!\p{L})"),
-    ("nV", r"(?<!\p{L})n(?:ano)?[- ]?v(?:olts?)?(?!\p{L})"),
-    ("count", r"(?<!\p{L})(?:adc|counts?|digits?|lsbs?|adu)(?!\p{L})"),
-    ("V", r"(?<!\p{L})v(?:olts?)?(?!\p{L})"),
+    ("mV", r"(?:10\s*\^?\s*[-−]3\s*|thousandths? of an? )v(?:olts?)?(?![\p{L}\d])"),
+    ("uV", r"(?:10\s*\^?\s*[-−]6\s*|millionths? of an? )v(?:olts?)?(?![\p{L}\d])"),
+    ("nV", r"(?:10\s*\^?\s*[-−]9\s*|billionths? of an? )v(?:olts?)?(?![\p{L}\d])"),
+    ("mV", r"(?<!\p{L})m(?:illi)?[- ]?v(?:olts?)?(?![\p{L}\d])"),
+    ("uV", r"(?<!\p{L})(?:[uµμ]|micro|mikro)[- ]?v(?:olts?)?(?![\p{L}\d])"),
+    ("nV", r"(?<!\p{L})n(?:ano)?[- ]?v(?:olts?)?(?![\p{L}\d])"),
+    ("count", r"(?<!\p{L})(?:adc|counts?|digits?|lsbs?|adu)(?![\p{L}\d])"),
+    ("V", r"(?<!\p{L})v(?:olts?)?(?![\p{L}\d])"),
 )
 
 #: Any unit with a size, after a number.
-SIZED = r"(?:m(?:illi)?|[uµμ]|micro|mikro|n(?:ano)?)?[- ]?v(?:olts?)?(?!\p{L})"
+SIZED = r"(?:m(?:illi)?|[uµμ]|micro|mikro|n(?:ano)?)?[- ]?v(?:olts?)?(?![\p{L}\d])"
 
 #: A number: blanks group digits, a comma or a point is the decimal mark.
 NUMBER = r"[-+]?(?:\d{1,3}(?:[ \x{00a0}\x{2009}\x{202f}]\d{3})+|\d+)(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
@@ -129,7 +129,7 @@ def note_unit(note: Column, firmware: Column) -> Column:
     t = F.regexp_replace(_lower(note), r"(?:test|signal|pulse)[^.;,]*?" + NUMBER + r"\s*" + SIZED, " ")
     size = F.coalesce(_sized(t, SIZE_AFTER), _sized(t, SIZE_BEFORE))
     version = F.regexp_extract(t, r"\d+\.\d+", 0)
-    changes = t.rlike(r"firmware|version|(?<!\p{L})fw(?!\p{L})")
+    changes = t.rlike(r"firmware|version|(?<!\p{L})fw(?![\p{L}\d])")
     bare = F.regexp_replace(t, rf"\(?{NUMBER}\s*{SIZED}\s*(?:(?:/|per|each|je)\s*(?:counts?|steps?|digits?|lsb)?)?\)?", " ")
     clauses = F.filter(F.transform(F.split(bare, r"[;,]|\.(?!\d)"), unit_of), lambda x: x.isNotNull())
     first, last = F.get(clauses, F.lit(0)), F.element_at(clauses, -1)
