@@ -6,6 +6,7 @@ computed with higher-order functions inside the row: no join, no shuffle, no Pyt
 
 from __future__ import annotations
 
+import json
 from math import cos, pi, sin
 
 from pyspark.sql import Column, DataFrame
@@ -25,27 +26,28 @@ def blocks_of(df: DataFrame, key: list[str], idx: str, x: str, size: int) -> Dat
     return full.select(*key, "block", F.transform(F.array_sort("_s"), lambda s: s[x].cast("double")).alias("v"))
 
 
-def _dot(v: Column, weights: list[float]) -> Column:
-    products = F.zip_with(v, F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda s, a: s + a)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def transform(df: DataFrame, key: list[str], size: int, bins: list[int], windowed: bool = True, periodic: bool = False) -> DataFrame:
-    """``k``, ``re`` and ``im`` of each block's mean-removed, Hann-weighted values at the given bins."""
+    """``k``, ``re`` and ``im`` of each block's mean-removed, Hann-weighted values at the given bins. The basis is
+    one constant of the plan."""
     hann = window_weights(size, periodic) if windowed else [1.0] * size
-    total = F.aggregate("v", F.lit(0.0), lambda s, a: s + a)
-    centred = df.withColumn("_m", total / size).withColumn("_c", F.transform("v", lambda a: a - F.col("_m")))
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                _dot(F.col("_c"), [h * cos(2 * pi * k * t / size) for t, h in enumerate(hann)]).alias("re"),
-                _dot(F.col("_c"), [-h * sin(2 * pi * k * t / size) for t, h in enumerate(hann)]).alias("im"),
-            )
-            for k in bins
-        ]
-    )
-    return centred.select(*key, F.explode(parts).alias("_p")).select(*key, "_p.k", "_p.re", "_p.im")
+    table = [
+        {
+            "k": k,
+            "c": [h * cos(2 * pi * k * t / size) for t, h in enumerate(hann)],
+            "s": [-h * sin(2 * pi * k * t / size) for t, h in enumerate(hann)],
+        }
+        for k in bins
+    ]
+    # a literal that Catalyst folds to one constant; thousands of number literals would slow the planning
+    basis = F.from_json(F.lit(json.dumps(table)), "array<struct<k:int,c:array<double>,s:array<double>>>")
+    mean = F.aggregate("v", F.lit(0.0), lambda s, a: s + a) / size
+    centred = df.withColumn("_m", mean).withColumn("_c", F.transform("v", lambda a: a - F.col("_m")))
+    wide = centred.select(*key, "_c", F.explode(basis).alias("_b"))
+    return wide.select(*key, F.col("_b.k").alias("k"), _dot(F.col("_c"), F.col("_b.c")).alias("re"), _dot(F.col("_c"), F.col("_b.s")).alias("im"))
 
 
 def power(spectrum: DataFrame) -> DataFrame:
