@@ -235,7 +235,7 @@ def capture_positions(t: Tables) -> DataFrame:
 
 @REG.add(
     _BLK + ", e as (select *, row_number() over (partition by rec_id order by hash_order, block, channel) as place from (select *, (block * 7919 + channel * 104729 + rec_id) % 1009 as hash_order from blk where ptp > 0)) "
-    "select rec_id, channel, block, place from e where place <= 3"
+    "select rec_id, channel, block, place::int as place from e where place <= 3"
 )
 def first_n_eligible(t: Tables) -> DataFrame:
     """The first three blocks with any change in a drawn order (WIN17)."""
