@@ -67,7 +67,37 @@ QUERIES = {f.__name__: f for f in (
     p1_found, p1_split, p4_sample, p4_plans, p6_ids, p7_found, p7_leaks, p8_found, p8_figures,
 )}
 
+_NUMBER = r"try_cast(regexp_extract({}, '(\d+)\D*$', 1) as bigint)"
+_SAME = (
+    r"(?:same person as|identisch mit|duplicate enrolment of|formerly enrolled as|earlier code)\s+(\D{0,4}\d+)"
+)
+
 SQL = {
+    "p1_found": rf"""
+with recursive r as (
+  select 's' || {_NUMBER.format("subject")} as s, {_NUMBER.format("family_id")} as f, lower(trim(sha256)) as h, n_bytes,
+         regexp_replace(lower(remark), 'not the same person as', '') as m
+  from recordings
+), one as (
+  select s as a, 'f' || f as b from r where f > 0
+  union select s, 'c' || h from r where n_bytes > 0
+  union select s, 's' || {_NUMBER.format(f"regexp_extract(m, '{_SAME}', 1)")} from r where regexp_matches(m, '{_SAME}')
+), e as (
+  select a, b from one union select b, a from one
+), reach as (
+  select distinct a as v, a as w from e
+  union
+  select reach.v, e.b from reach join e on reach.w = e.a
+), comp as (
+  select v, min(w) as c from reach group by v
+), p as (
+  select plan_id, coalesce(c, 's' || {_NUMBER.format("subject")}) as c,
+         case when lower(trim(plan_partition)) in ('train', 'training') then 'train' when lower(trim(plan_partition)) in ('validation', 'valid', 'val') then 'validation'
+              when lower(trim(plan_partition)) = 'test' then 'test' end as part
+  from subject_plans left join comp on v = 's' || {_NUMBER.format("subject")}
+)
+select x.plan_id as plan_lo, y.plan_id as plan_hi from p x join p y on x.c = y.c and x.part <> y.part and x.plan_id < y.plan_id
+""",
     "p4_sample": _sample_sql("n as subject_no, min(wave) as first_wave, count(*) as n_plans", "group by n"),
     "p4_plans": _sample_sql("plan_id, subject, wave"),
 }

@@ -8,7 +8,7 @@ shared checkpoint folder; nothing of a component is gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import codes
@@ -111,21 +111,15 @@ def split_components(rows: DataFrame, shares: dict[str, float] | None = None, se
     placed = weight.withColumn("_h", h).withColumn(
         "_bucket", F.when(F.col("_w") * 1000 > total, F.lit(-1)).otherwise(F.pmod("_h", F.lit(BUCKETS)))
     )
-    placed.createOrReplaceTempView("_wavemill_placed")
-    sums = rows.sparkSession.sql(
-        """
-        select _bucket, coalesce(sum(_s) over (order by _bucket rows between unbounded preceding and 1 preceding), 0) as _before
-        from (select _bucket, sum(_w) as _s from _wavemill_placed group by _bucket)
-        """
-    )
-    inner = F.expr("sum(_w) over (partition by _bucket order by _h, component rows between unbounded preceding and current row)")
+    upto = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_bucket").agg(F.sum("_w").alias("_s"))  # BUCKETS + 1 rows at most
+    sums = sums.select("_bucket", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
+    inner = F.sum("_w").over(Window.partitionBy("_bucket").orderBy("_h", "component").rowsBetween(Window.unboundedPreceding, 0))
     middle = (F.col("_before") + F.col("_end") - F.col("_w") / 2) / F.lit(float(total))
     names, parts = list(shares), list(shares.values())
     name = F.lit(names[-1])
-    upto = sum(parts)
     for k in range(len(names) - 2, -1, -1):
-        upto = sum(parts[: k + 1]) / sum(parts)
-        name = F.when(middle < upto, names[k]).otherwise(name)
+        name = F.when(middle < sum(parts[: k + 1]) / sum(parts), names[k]).otherwise(name)
     chosen = placed.withColumn("_end", inner).join(F.broadcast(sums), "_bucket").select("component", name.alias("split"))
     return rows.join(chosen, "component", "left")
 
