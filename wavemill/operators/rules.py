@@ -62,6 +62,6 @@ def in_every(df: DataFrame, member: str, variant: str, ok: str, variants: int) -
 
 def recurrence(df: DataFrame, member: str, elements: str, num: int = 7, den: int = 10) -> DataFrame:
     """In how many sets each element stands, and whether that is at least num/den of all sets, empty ones too."""
-    n = df.agg(F.count("*").alias("sets"))
+    sets = F.lit(df.count())
     each = df.select(member, F.explode(F.array_distinct(F.col(elements))).alias("element")).groupBy("element").agg(F.count("*").alias("n"))
-    return each.join(F.broadcast(n)).select("element", "n", (F.col("n") * den >= F.col("sets") * num).alias("stable"))  # one row
+    return each.select("element", "n", (F.col("n") * den >= sets * num).alias("stable"))

@@ -28,12 +28,11 @@ def rescale(df: DataFrame, key: list[str], x: str, mu: float, sigma: float, name
 
 
 def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``z_<column>``: population z-scores over the whole table (one aggregated row joins back)."""
-    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    wide = df.join(F.broadcast(stats))  # one row
-    return wide.withColumns(
-        {f"z_{c}": F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns}
-    ).drop(*stats.columns)
+    """Adds ``z_<column>``: population z-scores over the whole table; null for a constant column. One row of
+    means and SDs goes over the driver."""
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    z = {c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.lit(None).cast("double") for c in columns}
+    return df.withColumns({f"z_{c}": e for c, e in z.items()})
 
 
 def average_rank(df: DataFrame, key: list[str], x: str, name: str) -> DataFrame:
@@ -85,10 +84,9 @@ def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> Data
     join brings the drawn rows; the work is b × rows, spread over the slots.
     """
     numbered = ordered_rank(values, order).select((F.col("rank") - 1).alias("_i"), *columns)
-    n = numbered.agg(F.count("*").alias("_n"))
-    slots = numbered.select(F.col("_i").alias("_slot")).join(F.broadcast(n))  # one row
-    draws = slots.select("_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    hit = draws.select("b", drawn(F.col("b").cast("long"), F.col("_slot"), F.col("_n")).alias("_i"))
+    n = F.lit(max(values.count(), 1))
+    draws = numbered.select(F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
+    hit = draws.select("b", drawn(F.col("b").cast("long"), F.col("_slot"), n).alias("_i"))
     return hit.join(numbered, "_i").select("b", *columns)
 
 

@@ -81,9 +81,11 @@ def allow_list_semi(t: Tables) -> DataFrame:
 def domain_counts(t: Tables) -> DataFrame:
     """The counts a dataset is checked against (FLT10)."""
     r = _recordings(t)
-    p = r.groupBy("subject_no").agg(F.countDistinct("ses").alias("k"))
-    a = p.agg(F.count("*").alias("subjects"), F.count_if(F.col("k") > 1).alias("more_sessions"))
-    return a.join(r.agg(F.countDistinct("rec_id").alias("recordings"), F.countDistinct("rel_path").alias("paths")))  # one row each
+    count = F.countDistinct
+    p = r.groupBy("subject_no").agg(count("ses").alias("k"), count("rec_id").alias("r"), count("rel_path").alias("p"))
+    return p.agg(
+        F.count("*").alias("subjects"), F.count_if(F.col("k") > 1).alias("more_sessions"), F.sum("r").alias("recordings"), F.sum("p").alias("paths")
+    )
 
 
 @REG.add(

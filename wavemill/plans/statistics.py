@@ -121,8 +121,8 @@ def icc_two_sessions(t: Tables) -> DataFrame:
 def ols_residuals(t: Tables) -> DataFrame:
     """What a pooled line on a covariate leaves (STA1, STA13)."""
     k = _two_sessions(t).filter("a is not null and va is not null").select("subject_no", "a", "va")
-    line = k.agg(F.regr_slope("a", "va").alias("s"), F.regr_intercept("a", "va").alias("i"))
-    return k.join(F.broadcast(line)).select("subject_no", F.round(F.col("a") - F.col("i") - F.col("s") * F.col("va"), 5).alias("residual"))
+    line = k.agg(F.regr_slope("a", "va").alias("s"), F.regr_intercept("a", "va").alias("i")).first()
+    return k.select("subject_no", F.round(F.col("a") - F.lit(line.i) - F.lit(line.s) * F.col("va"), 5).alias("residual"))
 
 
 @REG.add(
