@@ -70,16 +70,11 @@ def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = item_words(items)
     long = at.groupBy("item_id").agg(F.count("*").alias("len")).filter(F.col("len") >= RUN)
     tf = at.join(long, "item_id").groupBy("item_id", "word", "len").agg(F.count("*").alias("tf"))
-    totals = long.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    totals = long.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    bm25 = (
-        tf.join(df, "word").crossJoin(F.broadcast(totals))  # with the one row of totals
-        .select(
-            "item_id", "word",
-            (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-             * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))).alias("w"),
-        )
-    )
+    idf = F.log(1 + (F.lit(totals.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(totals.mean or 1.0)))
+    bm25 = tf.join(df, "word").select("item_id", "word", weight.alias("w"))
     ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, RUN - 1)
     runs = at.withColumn("run", F.collect_list("word").over(ahead)).filter(F.size("run") == RUN).select("item_id", "pos", "run")
     sums = (
