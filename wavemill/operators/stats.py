@@ -68,12 +68,37 @@ def icc31(df: DataFrame, key: list[str], subject: str, a: str, b: str) -> DataFr
     return s.select(*key, "n", F.when((n > 1) & (msr + mse != 0), (msr - mse) / (msr + mse)).alias("icc"))
 
 
+def f_quantile(p: float, d1: float, d2: float) -> float:
+    """Quantile of the F distribution, through the beta distribution."""
+    x = beta_quantile(p, d1 / 2, d2 / 2)
+    return d2 * x / (d1 * (1 - x)) if x < 1 else math.inf
+
+
+def icc_interval(df: DataFrame, n: str, icc: str, level: float = 0.95) -> DataFrame:
+    """Adds the F-based limits ``low`` and ``high`` of ICC(3,1) over two sessions; null for fewer than two
+    subjects or an ICC of 1 or more. Rows are groups: one small function a row."""
+    tail = 1 - (1 - level) / 2
+
+    @F.pandas_udf("low double, high double")
+    def limits(count: pd.Series, value: pd.Series) -> pd.DataFrame:
+        rows = []
+        for m, r in zip(count, value):
+            if m is None or m < 2 or r is None or not abs(r) < 1:
+                rows.append((None, None))
+                continue
+            f, q = (1 + r) / (1 - r), f_quantile(tail, m - 1, m - 1)
+            rows.append(((f / q - 1) / (f / q + 1), (f * q - 1) / (f * q + 1)))
+        return pd.DataFrame(rows, columns=["low", "high"], dtype="float64")
+
+    return df.withColumn("_l", limits(F.col(n), F.col(icc))).select(*df.columns, "_l.low", "_l.high")
+
+
 def drawn(b: Column, slot: Column, n: Column) -> Column:
     """The index, 0 to n − 1, that resample ``b`` draws into ``slot``: whole-number mixing, the same anywhere."""
     m = F.lit(2147483647)
-    h = (b * 48271 + slot * 69621 + 12345) % m
-    h = (h * 16807 + b) % m
-    h = (h * 48271 + slot) % m
+    h = ((b * 48271 + slot * 69621 + 12345) % m * 16807 + b) % m
+    for shift, times in ((15, 48271), (13, 69621), (16, 16807)):  # without the shifts the draws of a resample hang together
+        h = h.bitwiseXOR(F.shiftright(h, shift)) * times % m
     return h % n
 
 

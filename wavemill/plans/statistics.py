@@ -115,6 +115,13 @@ def icc_two_sessions(t: Tables) -> DataFrame:
     return S.icc31(_two_sessions(t), [], "subject_no", "a", "b").select("n", F.round("icc", 6).alias("icc"))
 
 
+@REG.add()
+def icc_limits(t: Tables) -> DataFrame:
+    """The F-based interval of that agreement and its verdict (STA3, STA6)."""
+    r = S.icc_interval(S.icc31(_two_sessions(t), [], "subject_no", "a", "b"), "n", "icc")
+    return r.select("n", *[F.round(c, 6).alias(c) for c in ("icc", "low", "high")], (F.col("low") >= 0.4).alias("verdict"))
+
+
 @REG.add(
     _TWO + ", k as (select * from x where a is not null and va is not null), l as (select regr_slope(a, va) as s, regr_intercept(a, va) as i from k) select subject_no, round(a - i - s * va, 5) as residual from k, l"
 )
@@ -211,14 +218,16 @@ def flag_summary(t: Tables) -> DataFrame:
     return b.join(r, "rec_id").agg(F.count_if("bad").alias("recordings"), F.countDistinct(F.when(F.col("bad"), F.col("subject_no"))).alias("subjects"))
 
 
-_DRAW = "(((b * 48271 + slot * 69621 + 12345) % 2147483647 * 16807 + b) % 2147483647 * 48271 + slot) % 2147483647 % n"
+_MIX = "((b * 48271 + slot * 69621 + 12345) % 2147483647 * 16807 + b) % 2147483647"
 
 
 def _drawn(source: str, key: str, b: int) -> str:
     """CTEs ``k`` (numbered rows) and ``d`` (rows of every resample) over a CTE ``source``."""
     return (
         f", k as (select *, row_number() over (order by {key}) - 1 as i, count(*) over () as n_all from {source}), "
-        f"w as (select b, i as slot, n_all as n from k, (select unnest(range({b})) as b)), w2 as (select b, {_DRAW} as i from w), "
+        f"w as (select b, i as slot, n_all as n from k, (select unnest(range({b})) as b)), h1 as (select b, n, {_MIX} as h from w), "
+        "h2 as (select b, n, xor(h, h >> 15) * 48271 % 2147483647 as h from h1), h3 as (select b, n, xor(h, h >> 13) * 69621 % 2147483647 as h from h2), "
+        "w2 as (select b, xor(h, h >> 16) * 16807 % 2147483647 % n as i from h3), "
         "d as (select w2.b, k.* from w2 join k using (i))"
     )
 
