@@ -2,7 +2,7 @@
 
 Connected components by random-mate contraction: in each round every vertex flips a coin, vertices with tails
 that touch one with heads collapse into it, and the edges are rewritten, until none is left. The hooks of all
-rounds are then unwound from the last to the first. Every step is a SQL join or aggregation over tables in the
+rounds are then unwound by pointer doubling. Every step is a SQL join or aggregation over tables in the
 shared checkpoint folder; nothing of a component is gathered in one place.
 """
 
@@ -76,11 +76,13 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
     if not hooks:
         return now.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    names = hooks[-1].select(F.col("a").alias("vertex"), F.col("to").alias("component"))
-    for hook in reversed(hooks[:-1]):  # each table is a fraction of the next, so all joins cost about as much as the last
-        up = names.select(F.col("vertex").alias("to"), F.col("component").alias("_top"))
-        found = hook.join(up, "to", "left").select(F.col("a").alias("vertex"), F.coalesce("_top", "to").alias("component"))
-        names = names.unionByName(cut(found))
+    names = hooks[0].select(F.col("a").alias("vertex"), F.col("to").alias("component"))
+    for hook in hooks[1:]:
+        names = names.unionByName(hook.select(F.col("a").alias("vertex"), F.col("to").alias("component")))
+    names = cut(names)
+    for _ in range((len(hooks) - 1).bit_length()):  # a chain has a hook a round at most; each step doubles its reach
+        up = names.select(F.col("vertex").alias("component"), F.col("component").alias("_top"))
+        names = cut(names.join(up, "component", "left").select("vertex", F.coalesce("_top", "component").alias("component")))
     return names.unionByName(names.select(F.col("component").alias("vertex"), "component").distinct())
 
 
