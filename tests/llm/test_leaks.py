@@ -60,8 +60,38 @@ def test_long_text_and_empty_tables(spark):
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
 
 
+def longest(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_words_of_runs_over_passage_edges(spark):
+    rng = random.Random(9)
+    item = [f"w{i}" for i in range(150)]
+    item[120:135] = item[20:27] + item[60:68]  # runs of an item that only overlap are no longer run
+    docs = []
+    for d, (at, size, lead) in enumerate([(0, 150, 0), (3, 68, 20), (10, 46, 30), (30, 47, 40), (0, 8, 57), (18, 20, 50), (5, 130, 300)]):
+        docs.append((d, [f"n{rng.randrange(50)}" for _ in range(lead)] + item[at : at + size] + ["end"] * (d * 11)))
+    docs.append((50, item[100:127] + item[27:40] + ["z"] + item[40:60]))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    i = spark.createDataFrame([(5, " ".join(item)), (6, " ".join(item[40:]))], "item_id long, text string")
+    want = {(k, j): n for k, w in docs for j, x in ((5, item), (6, item[40:])) if (n := longest(w, x)) >= L.RUN}
+    assert {(r.doc_id, r.item_id): r.words for r in L.leaks(d, i).collect()} == want
+    assert max(want.values()) == 150
+
+
 def test_corpus(spark):
     t = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
     docs = [tuple(r) for r in t("documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in t("benchmark").select("item_id", "text").collect()]
     assert {tuple(r)[:2] for r in L.leaks(t("documents"), t("benchmark")).collect()} == brute(docs, items)
+
+
+def test_corpus_words(spark):
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    docs = {r.doc_id: L.words(r.text) for r in t("documents").select("doc_id", "text").collect()}
+    items = {r.item_id: L.words(r.text) for r in t("benchmark").select("item_id", "text").collect()}
+    assert all(r.words == longest(docs[r.doc_id], items[r.item_id]) for r in L.leaks(t("documents"), t("benchmark")).collect())

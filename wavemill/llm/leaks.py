@@ -3,7 +3,7 @@
 A BM25 index of the items, kept in blocks with the greatest weight of each word per block, is queried with
 every passage of every document. Weights are scaled item by item so that any eight successive words of an item
 reach 1: the threshold 1 then loses no leak, whatever the passage. Blocks whose bound stays under 1 are never
-opened; what is retrieved is verified word by word. Documents meet the index in one map without a shuffle.
+opened; what is retrieved is verified word by word over the whole document. Documents meet the index in one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,7 +62,7 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (``item_id``, ``word``, ``weight``) and runs (``item_id``, ``run``) of the items.
+    """Postings (``item_id``, ``word``, ``weight``) and runs (``item_id``, ``pos``, ``run``) of the items.
 
     ``weight`` is the BM25 weight divided by the least sum that any run of ``RUN`` words of the item collects
     over its distinct words. Items of fewer words have no run and no postings.
@@ -85,7 +85,7 @@ def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     least = sums.groupBy("item_id").agg(F.min("s").alias("least"))
     postings = bm25.join(least, "item_id").select("item_id", "word", (F.col("w") / F.col("least")).alias("weight"))
-    return postings, runs.select("item_id", F.array_join("run", " ").alias("run")).distinct()
+    return postings, runs.select("item_id", "pos", F.array_join("run", " ").alias("run"))
 
 
 class Index:
@@ -103,9 +103,9 @@ class Index:
         self.bstart = np.searchsorted(blocks["word"].to_numpy(), np.arange(len(names) + 1))
         self.block, self.bound = blocks["block"].to_numpy(), blocks["w"].to_numpy()
         self.blocks = len(self.items) // BLOCK + 1
-        self.runs: dict[str, set[int]] = {}
-        for i, run in zip(np.searchsorted(self.items, runs["item_id"].to_numpy()), runs["run"]):
-            self.runs.setdefault(run, set()).add(int(i))
+        self.runs: dict[str, list[tuple[int, int]]] = {}
+        for i, at, run in zip(np.searchsorted(self.items, runs["item_id"].to_numpy()), runs["pos"], runs["run"]):
+            self.runs.setdefault(run, []).append((int(i), int(at)))
 
 
 def _spread(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,21 +154,32 @@ def _search(index: Index, doc_ids: list[int], texts: list[str | None]) -> list[t
     hits, items, scores = retrieve(index, pairs // v, pairs % v, int(count.sum()))
     owner = np.repeat(np.arange(len(lists)), count)
     out = []
-    for h in np.unique(hits):
-        d = owner[h]
-        begin = int(h - offset[d]) * step
-        part = lists[d][begin : begin + PASSAGE]
-        found = [index.runs.get(" ".join(part[k : k + RUN]), ()) for k in range(len(part) - RUN + 1)]
-        for i, s in zip(items[hits == h], scores[hits == h]):
-            best = run = 0
-            for f in found:
-                run = run + 1 if i in f else 0
-                best = max(best, run)
-            if best:
-                out.append((int(doc_ids[d]), int(index.items[i]), float(s), best + RUN - 1))
+    for d in np.unique(owner[hits]):
+        grams = [index.runs.get(" ".join(lists[d][k : k + RUN]), ()) for k in range(len(lists[d]) - RUN + 1)]
+        longest = _longest(grams)
+        best: dict[int, float] = {}
+        for h in np.unique(hits[owner[hits] == d]):
+            begin = int(h - offset[d]) * step
+            here = {i for gram in grams[begin : begin + step] for i, _ in gram}
+            for i, s in zip(items[hits == h].tolist(), scores[hits == h].tolist()):
+                if i in here:
+                    best[i] = max(best.get(i, 0.0), s)
+        out += [(int(doc_ids[d]), int(index.items[i]), s, longest[i]) for i, s in best.items()]
     return out
 
 
+def _longest(grams: list[Iterable[tuple[int, int]]]) -> dict[int, int]:
+    """Of each item the most successive words that stand in the document as in the item; ``grams`` has, for each
+    word of the document, the items and places where its run begins."""
+    most: dict[int, int] = {}
+    before: dict[tuple[int, int], int] = {}
+    for gram in grams:
+        before = {(i, at): before.get((i, at - 1), 0) + 1 for i, at in gram}
+        for (i, _), n in before.items():
+            most[i] = max(most.get(i, 0), n + RUN - 1)
+    return most
+
+
 def _shards(items: DataFrame, max_postings: int) -> list[Index]:
     postings, runs = item_index(items)
     n = postings.count()
@@ -183,7 +194,7 @@ def _shards(items: DataFrame, max_postings: int) -> list[Index]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, max_postings: int = MAX_POSTINGS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``score`` and ``words`` (the longest run) of every document that contains at
+    """``doc_id``, ``item_id``, ``score`` and ``words`` (the longest run, over the whole text) of every document that contains at
     least ``RUN`` successive words of an item.
 
     The index reaches the tasks in shards of about ``max_postings`` postings at most, one after the other. Null
