@@ -187,3 +187,26 @@ def test_resampling_draws_like_chance(spark):
     means = np.array([x.m for x in r])
     spread = np.arange(200).std() / math.sqrt(200)
     assert abs(means.mean() - 99.5) < 1 and 0.85 < means.std() / spread < 1.15
+
+
+def gaussian_levels(idx, x, q, r):
+    """Levels as the posterior mean of one Gaussian vector: first sample known with variance q + r before it is seen."""
+    idx = np.array(idx, float)
+    prior = r + q + q * np.minimum.outer(idx - idx[0], idx - idx[0])
+    return x[0] + prior @ np.linalg.solve(prior + r * np.eye(len(idx)), np.array(x) - x[0])
+
+
+@pytest.mark.parametrize("batch", [200_000, 10])
+def test_levels_run_through_gaps_and_blocks(spark, monkeypatch, batch):
+    monkeypatch.setattr(ST, "BATCH", batch)
+    rng = np.random.default_rng(3)
+    series = {"a": list(range(5, 90)), "b": [i for i in range(75) if i % 9 != 4 and not 30 < i < 41], "c": [7], None: [1, 2, 40]}
+    rows = [(k, i, float(v)) for k, at in series.items() for i, v in zip(at, rng.normal(size=len(at)).cumsum())]
+    df = spark.createDataFrame(rows, "k string, idx long, x double").repartition(3)
+    got = {(r.k, r.block * 32 + r.step): r.level for r in ST.smoothed(df, ["k"], 0.1, 0.25).collect()}
+    want = {(k, i): v for k, at in series.items() for i, v in zip(at, gaussian_levels(at, [x for n, _, x in rows if n == k], 0.1, 0.25))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    nis = {(r.k, r.q): r.nis for r in ST.nis_by_q(df, ["k"], [0.1, 1.0], 0.25).collect()}
+    assert set(nis) == {(k, q) for k in "ab" for q in (0.1, 1.0)}
+    whole = ST.level_filter(np.array([[x for k, _, x in rows if k == "a"]]), 0.1, 0.25)[0][0, 4:].mean()
+    assert abs(nis["a", 0.1] - whole) < 1e-9
