@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.functions.distributions import beta_quantile, f_quantile
 from wavemill.functions.ranking import ordered_rank
 
 MAD_SCALE = 1.4826
@@ -68,12 +67,6 @@ def icc31(df: DataFrame, key: list[str], subject: str, a: str, b: str) -> DataFr
     return s.select(*key, "n", F.when((n > 1) & (msr + mse != 0), (msr - mse) / (msr + mse)).alias("icc"))
 
 
-def f_quantile(p: float, d1: float, d2: float) -> float:
-    """Quantile of the F distribution, through the beta distribution."""
-    x = beta_quantile(p, d1 / 2, d2 / 2)
-    return d2 * x / (d1 * (1 - x)) if x < 1 else math.inf
-
-
 def icc_interval(df: DataFrame, n: str, icc: str, level: float = 0.95) -> DataFrame:
     """Adds the F-based limits ``low`` and ``high`` of ICC(3,1) over two sessions; null for fewer than two
     subjects or an ICC of 1 or more. Rows are groups: one small function a row."""
@@ -115,41 +108,6 @@ def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> Data
     return hit.join(numbered, "_i").select("b", *columns)
 
 
-def log_beta_part(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - log_beta_part(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            t = 1.0
-        elif i % 2 == 0:
-            t = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            t = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + t * d or 1e-30)
-        c = 1 + t / c or 1e-30
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
-
-
-def beta_quantile(p: float, a: float, b: float) -> float:
-    """The x at which the incomplete beta function is ``p``, by bisection."""
-    lo, hi = 0.0, 1.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if log_beta_part(mid, a, b) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
 def binomial_interval(df: DataFrame, hits: str, n: str, level: float = 0.95) -> DataFrame:
     """Adds the two-sided Clopper–Pearson limits ``low`` and ``high``; null for no cases. Rows are groups, of
     which there are few: one small function a row."""

@@ -50,7 +50,13 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return flags.filter("not series").select("rec_id", "channel", "idx", "value", "spike", "far", "stuck", "beyond")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_samples, p3_found, p3_listings, p5_found, p5_flags)}
+def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """The samples whose residuals lie outside the ESD limits, whatever their distance from the median."""
+    flags = spikes.series_flags(table(spark, d, "samples"), _recording_units(spark, d))
+    return flags.filter("not series and spike").select("rec_id", "channel", "idx", "value")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_samples, p3_found, p3_listings, p5_found, p5_flags, p5_spikes)}
 
 SQL = {
     "p3_found": r"""
