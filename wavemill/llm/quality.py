@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Common function words of each language.
 FUNCTION_WORDS = {
@@ -349,10 +349,11 @@ def not_prose(documents: DataFrame) -> DataFrame:
     """``doc_id`` and ``kind`` of the documents that are lists, tables or junk; null, empty and blank texts and those
     with nothing outside code are none."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            at, kind, _ = _told(list(rows["text"]))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kind, _ = _told(b.column("text").to_pylist())
             some = np.flatnonzero(kind)
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[np.array(at, int)[some]], "kind": [KINDS[k] for k in kind[some]]})
+            ids = b.column("doc_id").take(pa.array(np.array(at, np.int64)[some]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([KINDS[k] for k in kind[some]], pa.string())], ["doc_id", "kind"])
 
-    return documents.select("doc_id", "text").mapInPandas(work, "doc_id long, kind string")
+    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, kind string")
