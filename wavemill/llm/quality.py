@@ -74,6 +74,8 @@ PROFILES = (
 )
 #: A document nearer to prose than to anything else by at least so much is prose without a look at its lines.
 CLEAR = 0.04
+#: About so many characters are counted at once; that changes no result.
+AT_ONCE = 300_000
 #: Weight of the distribution of line kinds where it is taken, and its share on a profile's own kind.
 LINE_WEIGHT, OWN_LINES = 0.7, 0.94
 
@@ -210,7 +212,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point of the basic plane its class (4 digit, 5 prose mark, 6 other mark, 7 letter of another
     script, 8 blank, 9 line feed; letters as in ``LETTERS``) and what it says at a line's end (0 sentence, 1 letter or
     digit, 2 other mark, 3 nothing)."""
-    kind, end = np.empty(0x10000, np.int64), np.empty(0x10000, np.int64)
+    kind, end = np.empty(0x10000, np.int8), np.empty(0x10000, np.int8)
     for k in range(0x10000):
         c = chr(k)
         low = c.lower()
@@ -228,17 +230,16 @@ def shapes(bodies: list[list[str]]) -> list[np.ndarray]:
     texts = ["\n".join(b) for b in bodies]
     code = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds, end = _tables()
-    c = np.where(code < 0x10000, kinds[np.minimum(code, 0xFFFF)], 6)
-    e = np.where(code < 0x10000, end[np.minimum(code, 0xFFFF)], 2)
-    doc = np.repeat(np.arange(m), [len(t) + 1 for t in texts])
+    c, e = (np.where(code < 0x10000, t[np.minimum(code, 0xFFFF)], far).astype(np.int8) for t, far in ((kinds, 6), (end, 2)))
+    doc = np.repeat(np.arange(m, dtype=np.int32), [len(t) + 1 for t in texts])
     chars = np.bincount(doc * 10 + c, minlength=10 * m).reshape(m, 10)
-    at = np.arange(len(c))
+    at = np.arange(len(c), dtype=np.int32)
     stop = np.flatnonzero(c == 9)
     start = np.append(0, stop[:-1] + 1)
     last = np.maximum.accumulate(np.where(e != 3, at, -1))[stop]
     ends = np.bincount(doc[stop] * 3 + np.where(last >= start, e[np.maximum(last, 0)], 2), minlength=3 * m).reshape(m, 3)
-    before = np.append(9, c[:-1])
-    begins = np.cumsum((c < 8) & (before >= 8))
+    before = np.append(np.int8(9), c[:-1])
+    begins = np.cumsum((c < 8) & (before >= 8), dtype=np.int32)
     words = begins[stop] - np.append(0, begins[stop[:-1]])
     lengths = np.bincount(doc[stop] * 4 + np.searchsorted([3, 6, 11], words), words, 4 * m).reshape(m, 4)
     numbers = np.bincount(doc, (c == 4) & (before != 4), m)
@@ -306,7 +307,10 @@ def _told(texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
     bodies = [(k, b) for k, b in ((k, outside_code(t)) for k, t in enumerate(texts) if t) if b]
     if not bodies:
         return [], np.zeros(0, int), np.zeros(0)
-    return [k for k, _ in bodies], *kinds_of([b for _, b in bodies])
+    size = np.cumsum([sum(map(len, b)) for _, b in bodies])
+    edges = np.flatnonzero(np.diff(size // AT_ONCE, append=-1)) + 1  # after so many characters each
+    parts = [kinds_of([b for _, b in bodies[lo:hi]]) for lo, hi in zip([0, *edges[:-1]], edges)]
+    return [k for k, _ in bodies], *map(np.concatenate, zip(*parts))
 
 
 def figures_of(texts: list[str | None]) -> list[dict]:
