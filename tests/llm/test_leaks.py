@@ -30,8 +30,8 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("max_postings", [10**6, 60])
-def test_equals_brute_force(spark, max_postings):
+@pytest.mark.parametrize("max_words", [10**6, 60])
+def test_equals_brute_force(spark, max_words):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(90)] + ["the", "of", "and"] * 12
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, max_postings):
     docs += [(900, None), (901, ""), (902, items[0][1] + " " + items[1][1]), (902, items[0][1])]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int").repartition(4)
     i = spark.createDataFrame([(*r, "s") for r in items], "item_id long, text string, doc_id string")
-    got = [tuple(r)[:2] for r in L.leaks(d, i, max_postings).collect()]
+    got = [tuple(r)[:2] for r in L.leaks(d, i, max_words).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
@@ -95,3 +95,34 @@ def test_corpus_words(spark):
     docs = {r.doc_id: L.words(r.text) for r in t("documents").select("doc_id", "text").collect()}
     items = {r.item_id: L.words(r.text) for r in t("benchmark").select("item_id", "text").collect()}
     assert all(r.words == longest(docs[r.doc_id], items[r.item_id]) for r in L.leaks(t("documents"), t("benchmark")).collect())
+
+
+def test_many_items_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    n, size = 4_000, 20
+    common = np.minimum(rng.zipf(1.3, (n, size)), 30_000)
+    at = pd.DataFrame({"item_id": np.repeat(np.arange(n), size), "pos": np.tile(np.arange(size), n), "word": [f"w{k}" for k in common.ravel()]})
+    df = at.drop_duplicates(["item_id", "word"]).groupby("word")["item_id"].transform("size")
+    postings = at.drop_duplicates(["item_id", "word"]).assign(weight=np.log(1 + n / df))[["item_id", "word", "weight"]]
+    w = dict(zip(zip(postings.item_id, postings.word), postings.weight))
+    least = {i: min(sum(w[i, x] for x in set(g[k : k + L.RUN])) for k in range(size - L.RUN + 1)) for i, g in at.groupby("item_id")["word"].agg(list).items()}
+    postings["weight"] /= postings["item_id"].map(least)
+    index = L.Index(postings, at)
+    texts = [[f"w{k}" for k in np.minimum(rng.zipf(1.3, 120), 30_000)] for _ in range(30)]
+    for d in range(0, 30, 2):
+        texts[d][50:60] = at.word[d * size + 5 : d * size + 15].tolist()
+    tracemalloc.start()
+    got = {(d, i) for d, i, _, _ in L._search(index, list(range(30)), texts)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    runs = {}
+    for i, g in at.groupby("item_id")["word"].agg(list).items():
+        for k in range(size - L.RUN + 1):
+            runs.setdefault(tuple(g[k : k + L.RUN]), set()).add(i)
+    assert got == {(d, i) for d, t in enumerate(texts) for k in range(len(t) - L.RUN + 1) for i in runs.get(tuple(t[k : k + L.RUN]), ())}
+    assert len(got) >= 15 and peak < 100e6
