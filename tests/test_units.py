@@ -82,3 +82,33 @@ def test_classifier_accuracy(spark):
     sure = test[test.confidence >= O.CONFIDENT]
     assert len(sure) > 0.3 * len(test)
     assert (sure.model_unit == sure.own_unit).mean() > 0.85
+
+
+def test_forest_decides_where_notes_are_masked(spark):
+    """A device whose note says nothing: its rows without a statement get the forest's unit where it is sure, and are
+    listed for review where not; without the forest they would have none. Recordings have one unit everywhere."""
+    d = "/root/testdata/sf0.01"
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    rec, checks, samples = t("recordings"), t("units_checks"), t("samples")
+    masked = t("amplifiers").withColumn("note", F.when(F.col("device_id") % 2 > 0, F.col("note")))
+    h = O.harmonise(rec, checks, samples, masked).cache()
+    won = h.filter("status = 'converted' and note_unit is null")
+    assert won.count() > 5
+    open_rows = O.for_review(h).filter("note_unit is null")
+    assert open_rows.count() > 0 and open_rows.filter("unit is not null").count() == 0
+    true = O.harmonise(rec, checks, samples, t("amplifiers")).select("kind", "row_id", F.col("unit").alias("want"))
+    right = won.join(true, ["kind", "row_id"]).agg(F.avg((F.col("unit") == F.col("want")).cast("int"))).first()[0]
+    assert right > 0.85
+    plain = O.resolve(O.recording_rows(rec, masked), None).filter("unit is not null").count()
+    units = O.recording_units(rec, checks, samples, masked)
+    assert units.filter("unit is not null").count() > plain
+    same = units.join(h.filter("kind = 'samples'").select(F.col("row_id").alias("rec_id"), F.col("unit").alias("u")), "rec_id")
+    assert same.filter("not unit <=> u").count() == 0 and same.count() == units.count()
+
+
+def test_masked_accuracy_and_review(spark):
+    rec, checks, samples, amps = tables(spark)
+    rows = O.check_rows(checks, rec, amps).drop("passed").unionByName(O.recording_rows(rec, amps, samples))
+    found = O.masked_accuracy(rows, O.train(rows)).collect()
+    assert sum(r.n for r in found) == rows.filter("own_unit is not null and magnitude is not null").count() and all(0 <= r.right <= 1 for r in found)
+    assert O.for_review(O.harmonise(rec.limit(0), checks.limit(0), samples.limit(0), amps.limit(0))).count() == 0

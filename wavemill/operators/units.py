@@ -1,9 +1,9 @@
 """Quantities recorded in different units, brought to microvolts (problem 2).
 
 Each row's evidence is read in SQL: its own remark, its unit field, and the note of its device for the firmware.
-Rows that state their unit train a calibrated random forest on magnitude, source, firmware and the device note;
-the forest predicts the unit of the rows that do not. Confident predictions that no evidence contradicts are
-converted, all others go to review, where the note of the device decides.
+Rows that state their unit train a calibrated random forest on magnitude, source, device and firmware; the forest
+predicts the unit of the rows that do not. Confident predictions that no note contradicts are converted; all others
+go to review with both candidates, where the note of the device settles those it covers.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import units as U
+from wavemill.functions.lineage import cut
 
 #: At most so many rows with a stated unit train and calibrate the forest; they are those with the least hash.
 TRAIN_ROWS = 20_000
@@ -35,6 +36,7 @@ def distinct_recordings(recordings: DataFrame) -> DataFrame:
 def with_evidence(df: DataFrame, amplifiers: DataFrame, value: Column) -> DataFrame:
     """Adds ``value``, ``own_unit``, ``note_unit`` and ``count_nv`` to rows with ``remark``, ``unit_text``,
     ``device_id`` and ``firmware``. ``value`` comes from the remark where the field has none."""
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # few bytes, but much work a row
     notes = amplifiers.select(F.col("device_id").alias("_dev"), "note")  # a fixed small table: Spark broadcasts it
     parts = U.pieces(F.col("remark"))
     read = (
@@ -69,7 +71,7 @@ def _coded(c: Column) -> Column:
     return F.when(c.isNull(), 0.0).otherwise(out)
 
 
-FEATURES = ["f_magnitude", "f_kind", "f_device", "f_major", "f_minor", "f_note"]
+FEATURES = ["f_magnitude", "f_kind", "f_device", "f_major", "f_minor"]
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -83,7 +85,6 @@ def features(rows: DataFrame) -> DataFrame:
                 "f_device": F.coalesce(F.col("device_id").cast("double"), F.lit(0.0)),
                 "f_major": F.coalesce(F.get(version, F.lit(0)).cast("double"), F.lit(0.0)),
                 "f_minor": F.coalesce(F.get(version, F.lit(1)).cast("double"), F.lit(0.0)),
-                "f_note": _coded(F.col("note_unit")),
             }
         )
     )
@@ -126,8 +127,8 @@ def resolve(rows: DataFrame, model) -> DataFrame:
     """Adds ``model_unit``, ``confidence``, ``status`` and the final ``unit`` and ``unit_nv``.
 
     ``stated``: the row itself names the unit. ``converted``: the forest is confident and the device note names
-    the same unit or none. ``review``: everything else; the device note decides, and where there is none
-    the unit stays null.
+    the same unit or none; a row without a note thus has the forest's unit. ``review``: everything else; the device
+    note settles the unit, and where there is none it stays null.
     """
     if model is None:
         scored = rows.withColumns({"model_unit": F.lit(None).cast("string"), "confidence": F.lit(0.0)})
@@ -163,10 +164,16 @@ def recording_rows(recordings: DataFrame, amplifiers: DataFrame, samples: DataFr
     )
 
 
-def recording_units(recordings: DataFrame, amplifiers: DataFrame) -> DataFrame:
-    """``rec_id``, ``unit`` and ``unit_nv`` of each recording by its evidence alone (no model)."""
-    rows = resolve(recording_rows(recordings, amplifiers), None)
-    return rows.select(F.col("row_id").alias("rec_id"), "unit", "unit_nv")
+def recording_units(recordings: DataFrame, checks: DataFrame, samples: DataFrame, amplifiers: DataFrame) -> DataFrame:
+    """``rec_id``, ``unit`` and ``unit_nv`` of each recording, the same as in ``harmonise``.
+
+    A statement or a note gives a recording's unit whatever the forest says; the forest is trained only where some
+    recording has neither."""
+    rows = cut(resolve(recording_rows(recordings, amplifiers), None).select(F.col("row_id").alias("rec_id"), "unit", "unit_nv"))
+    if rows.filter("unit is null").isEmpty():
+        return rows
+    every = harmonise(recordings, checks, samples, amplifiers).filter("kind = 'samples'")
+    return every.select(F.col("row_id").alias("rec_id"), "unit", "unit_nv")
 
 
 def check_rows(checks: DataFrame, recordings: DataFrame, amplifiers: DataFrame) -> DataFrame:
@@ -183,19 +190,37 @@ def check_rows(checks: DataFrame, recordings: DataFrame, amplifiers: DataFrame)
 
 def harmonise(recordings: DataFrame, checks: DataFrame, samples: DataFrame, amplifiers: DataFrame) -> DataFrame:
     """Every check and every recording with its unit: ``kind``, ``row_id``, ``value``, ``unit``, ``unit_nv``,
-    ``status``, ``model_unit``, ``confidence``, ``nv`` (the reading, or one unit, in whole nanovolts) and the
-    stored ``passed``.
+    ``status``, ``model_unit``, ``confidence``, ``note_unit``, ``nv`` (the reading, or one unit, in whole nanovolts)
+    and the stored ``passed``.
 
-    Null or placeholder fields count as no statement. A check without any reading has a null ``nv``, and so has
-    a count whose size is nowhere given. Empty tables give no rows. Other columns of the tables are ignored.
+    The evidence of all rows is written once; the forest is trained on it and scores it. Null or placeholder fields
+    count as no statement. A check without any reading has a null ``nv``, and so has a count whose size is nowhere
+    given. Empty tables give no rows. Other columns of the tables are ignored.
     """
     a = check_rows(checks, recordings, amplifiers)
     b = recording_rows(recordings, amplifiers, samples)
-    rows = a.unionByName(b.withColumn("passed", F.lit(None).cast("boolean")))
+    rows = cut(a.unionByName(b.withColumn("passed", F.lit(None).cast("boolean"))))
     done = resolve(rows, train(rows))
     nv = F.when(F.col("kind") == "check", F.bround(F.col("value") * F.col("unit_nv"))).otherwise(F.bround("unit_nv"))
     return done.select(
-        "kind", "row_id", "value", "unit", "unit_nv", "status", "model_unit", "confidence", nv.cast("long").alias("nv"), "passed"
+        "kind", "row_id", "value", "unit", "unit_nv", "status", "model_unit", "confidence", "note_unit", nv.cast("long").alias("nv"), "passed"
+    )
+
+
+def for_review(harmonised: DataFrame) -> DataFrame:
+    """The rows whose unit neither they nor the forest settle: ``kind``, ``row_id``, ``value``, both candidates
+    (``model_unit`` with its ``confidence``, ``note_unit``) and the ``unit`` they have until someone has looked."""
+    return harmonised.filter("status = 'review'").select("kind", "row_id", "value", "model_unit", "confidence", "note_unit", "unit").distinct()
+
+
+def masked_accuracy(rows: DataFrame, model) -> DataFrame:
+    """How the forest does on rows that state their unit, as if they did not: by fifths of the calibrated
+    confidence (``confidence``, lower end), ``n`` rows and the share ``right``."""
+    stated = rows.filter(F.col("own_unit").isNotNull() & F.col("magnitude").isNotNull())
+    scored = resolve(stated.withColumn("_truth", F.col("own_unit")), model)
+    fifth = F.floor(F.col("confidence") * 5) / 5
+    return scored.groupBy(F.least(fifth, F.lit(0.8)).alias("confidence")).agg(
+        F.count("*").alias("n"), F.avg((F.col("model_unit") == F.col("_truth")).cast("int")).alias("right")
     )
 
 

@@ -13,7 +13,7 @@ def _harmonised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recording_units(spark: SparkSession, d: str) -> DataFrame:
-    return units.recording_units(table(spark, d, "recordings"), table(spark, d, "amplifiers"))
+    return units.recording_units(*[table(spark, d, t) for t in ("recordings", "units_checks", "samples", "amplifiers")])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p2_checks(spark: SparkSession, d: str) -> DataFrame:
     return units.checks_in_microvolts(_harmonised(spark, d))
 
 
+def p2_review(spark: SparkSession, d: str) -> DataFrame:
+    """The checks and recordings whose unit is uncertain, with both candidates."""
+    return units.for_review(_harmonised(spark, d))
+
+
 def p2_samples(spark: SparkSession, d: str) -> DataFrame:
     """Every sample in µV."""
     return units.samples_in_microvolts(table(spark, d, "samples"), _recording_units(spark, d))
@@ -56,7 +61,7 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
     return flags.filter("not series and spike").select("rec_id", "channel", "idx", "value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_samples, p3_found, p3_listings, p5_found, p5_flags, p5_spikes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_review, p2_samples, p3_found, p3_listings, p5_found, p5_flags, p5_spikes)}
 
 SQL = {
     "p3_found": r"""
