@@ -113,6 +113,7 @@ class Index:
         every = np.concatenate([key[first], ends])
         order = np.argsort(every, kind="stable")
         self.key, self.bound = every[order], np.concatenate([bound, np.zeros(len(ends))])[order]
+        self.start = np.searchsorted(self.key, np.arange(len(names) + 1, dtype=np.int64) * (self.blocks + 1))
         at = at[at["item_id"].isin(self.items)].sort_values(["item_id", "pos"])
         of = np.searchsorted(self.items, at["item_id"].to_numpy())
         self.text = np.fromiter((self.ids[w] for w in at["word"]), np.int32, len(at))
@@ -144,10 +145,10 @@ def open_blocks(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
     that still point anywhere no longer reach the threshold.
     """
     width, end = index.blocks + 1, index.blocks
-    base = terms.astype(np.int64) * width
-    at = np.searchsorted(index.key, base)
     most = index.most[terms]
-    alive = np.arange(len(terms))
+    alive = np.flatnonzero(most.sum(1) >= ENOUGH)
+    most, base = most[alive], terms[alive].astype(np.int64) * width
+    at = index.start[terms[alive]]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(alive):
         block = index.key[at] - base
@@ -192,12 +193,23 @@ def retrieve(index: Index, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _passages(lists: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct known words of each passage of the documents, padded with ``none``, and each passage's document."""
     step = PASSAGE - RUN + 1
-    parts = [(d, np.unique(x[k : k + PASSAGE])) for d, x in enumerate(lists) for k in range(0, max(len(x) - RUN + 1, 1), step)]
-    parts = [(d, x[x >= 0]) for d, x in parts]
-    terms = np.full((len(parts), max((len(x) for _, x in parts), default=0) or 1), none, np.int64)
-    for k, (_, x) in enumerate(parts):
-        terms[k, : len(x)] = x
-    return terms, np.array([d for d, _ in parts], int)
+    n = np.array([len(x) for x in lists])
+    count = np.maximum(1, -(-np.maximum(n - RUN + 1, 0) // step))  # passages of each document
+    offset = np.cumsum(count) - count
+    ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(lists)), n)
+    pos = np.arange(len(ids)) - (np.cumsum(n) - n)[doc]
+    own = np.minimum(pos // step, count[doc] - 1)
+    shared = (pos - own * step < RUN - 1) & (own > 0)  # also at the end of the passage before
+    known = ids >= 0
+    passage = np.concatenate([(offset[doc] + own)[known], (offset[doc] + own - 1)[known & shared]])
+    term = np.concatenate([ids[known], ids[known & shared]]).astype(np.int64)
+    pairs = np.unique(passage * (none + 1) + term)
+    passage, term = pairs // (none + 1), pairs % (none + 1)
+    of = np.bincount(passage, minlength=int(count.sum()))
+    terms = np.full((len(of), max(int(of.max(initial=0)), 1)), none, np.int64)
+    terms[passage, np.arange(len(term)) - (np.cumsum(of) - of)[passage]] = term
+    return terms, np.repeat(np.arange(len(lists)), count)
 
 
 def _search(index: Index, doc_ids: list[int], lists: list[list[str]]) -> list[tuple[int, int, float, int]]:
@@ -215,21 +227,22 @@ def _search(index: Index, doc_ids: list[int], lists: list[list[str]]) -> list[tu
             p, items, scores = retrieve(index, terms[first : first + STEP_TERMS // PASSAGE])
             for d, i, s in zip((owner[first + p] + begin).tolist(), items.tolist(), scores.tolist()):
                 best[d, i] = max(best.get((d, i), 0.0), s)
-        grams, of = [], -1
+        grams, known, of = [], set(), -1
         for (d, i), s in sorted(best.items()):
             if d != of:
                 ids, of = coded[d].tolist(), d
                 grams = [tuple(ids[k : k + RUN]) for k in range(len(ids) - RUN + 1)]
-            n = _longest(grams, index.runs(i))
-            if n:
-                out.append((int(doc_ids[d]), int(index.items[i]), s, n))
+                known = set(grams)
+            runs = index.runs(i)
+            if not known.isdisjoint(runs):
+                out.append((int(doc_ids[d]), int(index.items[i]), s, _longest(grams, runs)))
         begin = stop
     return out
 
 
 def _longest(grams: list[tuple[int, ...]], runs: dict[tuple[int, ...], list[int]]) -> int:
-    """The most successive words that stand in the document as in the item, 0 for fewer than ``RUN``; ``grams`` are the
-    document's runs, ``runs`` the places of the item's."""
+    """The most successive words that stand in the document as in the item; ``grams`` are the document's runs, ``runs``
+    the places of the item's."""
     most = 0
     before: dict[int, int] = {}
     for gram in grams:
