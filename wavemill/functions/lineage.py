@@ -31,11 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the shared folder and read back: later plans start from its files.
 
     Unlike ``checkpoint()`` the result carries no constraints of its former plan; in loops of joins these
-    grow with every round until planning stands still. The files go when the session ends.
+    grow with every round until planning stands still. The files go when the session ends, or with ``drop_cut``.
     """
+    return cut_at(df)[0]
+
+
+def cut_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut``, and the folder of its files."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/wavemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_cut(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``cut_at`` that nothing reads any more, so that a loop keeps no more than its last ones."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
