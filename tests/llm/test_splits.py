@@ -25,12 +25,12 @@ def groups(edges):
     return {frozenset(g) for g in out.values()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_union_find(spark, seed):
+@pytest.mark.parametrize("seed, hub_edges", [(1, 100_000), (2, 4)])
+def test_components_equal_union_find(spark, seed, hub_edges):
     rng = random.Random(seed)
     edges = [(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(45)] + [("hub", f"h{i}") for i in range(30)] + [(f"c{i}", f"c{i + 1}") for i in range(25)]
     df = spark.createDataFrame(edges + edges[:5] + [(None, "x")], "a string, b string")
-    named = S.components(df).collect()
+    named = S.components(df, hub_edges=hub_edges).collect()
     got = {}
     for r in named:
         got.setdefault(r.component, set()).add(r.vertex)
@@ -38,6 +38,14 @@ def test_components_equal_union_find(spark, seed):
     assert {frozenset(g) for g in got.values()} == groups([e for e in edges if e[0] != e[1]])
 
 
+def test_star_and_chain(spark):
+    star = spark.range(100_000).select(F.lit("hub").alias("a"), F.concat(F.lit("x"), "id").alias("b"))
+    chain = spark.range(20_000).select(F.concat(F.lit("c"), "id").alias("a"), F.concat(F.lit("c"), F.col("id") + 1).alias("b"))
+    named = S.components(star.unionByName(chain), hub_edges=5_000)
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"), F.min("vertex").alias("v")).collect()
+    assert sorted(r.n for r in sizes) == [20_001, 100_001]
+
+
 def test_no_edges(spark):
     assert S.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
@@ -66,6 +74,8 @@ def test_relations_and_conflicts(spark):
     for hot in (50_000, 1):
         got = {tuple(r) for r in S.split_conflicts(rows, hot).collect()}
         assert got == {(10, 12), (11, 12), (10, 19), (11, 19), (14, 15)}
+    by_class = S.split_groups(rows).collect()
+    assert sum(r.n for r in by_class) == 10 and sum(r.pairs for r in by_class) == 5
     split = S.split_components(rows).collect()
     assert len(split) == 10 and all(r.split for r in split)
     by = {}
@@ -91,3 +101,4 @@ def test_empty_tables(spark):
     rec, plans = spark.createDataFrame([], REC), spark.createDataFrame([], "plan_id long, subject string, plan_partition string")
     assert S.split_conflicts(S.grouped_plans(plans, rec)).count() == 0
     assert S.split_components(S.grouped_plans(plans, rec)).count() == 0
+    assert S.split_groups(S.grouped_plans(plans, rec)).count() == 0

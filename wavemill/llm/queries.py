@@ -21,6 +21,11 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_components(_plans(spark, d)).select("plan_id", "component", "split")
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each related group with its plan rows by given partition and the number of pairs that differ."""
+    return splits.split_groups(_plans(spark, d))
+
+
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_subjects(table(spark, d, "subject_plans"))
 
@@ -64,7 +69,7 @@ def _sample_sql(select: str, group: str = "") -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_split, p4_sample, p4_plans, p6_ids, p7_found, p7_leaks, p8_found, p8_figures,
+    p1_found, p1_split, p1_groups, p4_sample, p4_plans, p6_ids, p7_found, p7_leaks, p8_found, p8_figures,
 )}
 
 _NUMBER = r"try_cast(regexp_extract({}, '(\d+)\D*$', 1) as bigint)"

@@ -3,20 +3,24 @@
 Connected components by random-mate contraction: in each round every vertex flips a coin, vertices with tails
 that touch one with heads collapse into it, and the edges are rewritten, until none is left. The hooks of all
 rounds are then unwound by pointer doubling. Every step is a SQL join or aggregation over tables in the
-shared checkpoint folder; nothing of a component is gathered in one place.
+shared checkpoint folder, where two rounds at a time leave one table; nothing of a component is gathered in one place,
+and a vertex with very many neighbours is split beforehand.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions import codes
-from wavemill.functions.lineage import cut
-
-#: Rows of one component above which the pair join spreads them over ``SALTS`` tasks.
-HOT_COMPONENT = 50_000
-SALTS = 16
+from wavemill.functions.lineage import cut, cut_at, drop_cut
+
+#: Rows of a component that meet in one task of the pair join.
+CELL_ROWS = 10_000
+#: A vertex keeps at most about so many neighbours; it is split into as many parts as that takes.
+HUB_EDGES = 100_000
+#: Rounds of contraction that one written table covers.
+AT_ONCE = 2
 #: Buckets for the cumulative weight of all components.
 BUCKETS = 4096
 
@@ -52,38 +56,78 @@ def subject_edges(recordings: DataFrame) -> DataFrame:
     return rows.filter("a is not null").select("a", F.explode("_to").alias("b")).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def split_hubs(edges: DataFrame, most: int = HUB_EDGES) -> DataFrame:
+    """The edges with each vertex of more than ``most`` neighbours split into parts, each with an edge to the vertex:
+    the components stay the same but for the parts, whose names hold a line feed. ``edges`` are distinct and have no
+    loops."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    parts = F.ceil(F.count("*") / most).cast("int")
+    hubs = cut(both.groupBy(F.col("a").alias("_hub")).agg(parts.alias("_parts")).filter("_parts > 1"))
+    if hubs.isEmpty():
+        return edges
+
+    def part(own: str, other: str) -> Column:
+        return F.when(F.col("_parts").isNull(), F.col(own)).otherwise(F.concat_ws("\n", own, F.pmod(F.xxhash64(other), F.col("_parts")).cast("string")))
+
+    one = edges.join(hubs, F.col("a") == F.col("_hub"), "left").select(part("a", "b").alias("a"), "b", F.col("a").alias("_a"))
+    two = one.join(hubs, F.col("b") == F.col("_hub"), "left").select("a", part("b", "_a").alias("b"))
+    numbers = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_n")
+    return two.unionByName(hubs.select("_hub", numbers).select(F.concat_ws("\n", "_hub", F.col("_n").cast("string")).alias("a"), F.col("_hub").alias("b")))
+
+
+def _contracted(now: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Round ``k``: each tail with a neighbour of heads hooks to the least of them. Hooks (``a``, ``to``) and the
+    edges that are left."""
+    heads = lambda c: F.pmod(F.shiftright(F.xxhash64(F.lit(k), F.col(c)), 17), F.lit(2)) == 1
+    both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hook = both.filter(~heads("a") & heads("b")).groupBy("a").agg(F.min("b").alias("to"))
+    one = now.join(hook.withColumnRenamed("to", "_a"), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b")
+    two = one.join(hook.select(F.col("a").alias("b"), F.col("to").alias("_b")), "b", "left").select("a", F.coalesce("_b", "b").alias("b"))
+    return hook, two.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(edges: DataFrame, max_rounds: int = 200, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``vertex`` and ``component`` (one of its vertices) of all vertices on an edge (``a``, ``b``).
 
     Null ends are no edge; repeated edges and edges of a vertex with itself change nothing. Coins depend on the
-    vertex and the round alone, so that reruns give the same components and the same names.
+    vertex and the round alone, so that reruns give the same components and the same names. Names hold no line feed.
     """
-    a, b = F.least("a", "b"), F.greatest("a", "b")
-    now = cut(edges.filter("a is not null and b is not null and a <> b").select(a.alias("a"), b.alias("b")).distinct())
-    hooks: list[DataFrame] = []
-    for k in range(max_rounds):
-        if now.isEmpty():
-            break
-        heads = lambda c: F.pmod(F.shiftright(F.xxhash64(F.lit(k), F.col(c)), 17), F.lit(2)) == 1
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.filter(~heads("a") & heads("b")).groupBy("a").agg(F.min("b").alias("to")))
-        hooks.append(hook)
-        one = now.join(hook.withColumnRenamed("to", "_a"), "a", "left").select(F.coalesce("_a", "a").alias("a"), "b")
-        two = one.join(hook.select(F.col("a").alias("b"), F.col("to").alias("_b")), "b", "left").select("a", F.coalesce("_b", "b").alias("b"))
-        now = cut(two.filter("a <> b").select(a.alias("a"), b.alias("b")).distinct())
-    else:
-        if not now.isEmpty():
+    spark = edges.sparkSession
+    clean = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now, old = cut_at(split_hubs(cut(clean.distinct()), hub_edges))
+    tables: list[DataFrame] = []
+    written: list[str] = []
+    rounds = 0
+    while True:
+        if rounds >= max_rounds:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    if not hooks:
-        return now.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    names = hooks[0].select(F.col("a").alias("vertex"), F.col("to").alias("component"))
-    for hook in hooks[1:]:
-        names = names.unionByName(hook.select(F.col("a").alias("vertex"), F.col("to").alias("component")))
-    names = cut(names)
-    for _ in range((len(hooks) - 1).bit_length()):  # a chain has a hook a round at most; each step doubles its reach
+        left, rows = now, None
+        for _ in range(AT_ONCE):
+            hook, left = _contracted(left, rounds)
+            hooked = hook.select(F.lit(True).alias("hook"), "a", F.col("to").alias("b"))
+            rows = hooked if rows is None else rows.unionByName(hooked)
+            rounds += 1
+        seen = Observation()
+        rows = rows.unionByName(left.select(F.lit(False).alias("hook"), "a", "b")).observe(seen, F.count_if(~F.col("hook")).alias("edges"))
+        table, path = cut_at(rows)
+        tables.append(table.filter("hook").select(F.col("a").alias("vertex"), F.col("b").alias("component")))
+        written.append(path)
+        now = table.filter("not hook").select("a", "b")
+        if not seen.get["edges"]:
+            break
+    names = tables[0]
+    for t in tables[1:]:
+        names = names.unionByName(t)
+    names, path = cut_at(names)
+    drop_cut(spark, old, *written)
+    for _ in range((rounds - 1).bit_length()):  # a chain has a hook a round at most; each step doubles its reach
         up = names.select(F.col("vertex").alias("component"), F.col("component").alias("_top"))
-        names = cut(names.join(up, "component", "left").select("vertex", F.coalesce("_top", "component").alias("component")))
-    return names.unionByName(names.select(F.col("component").alias("vertex"), "component").distinct())
+        old = path
+        names, path = cut_at(names.join(up, "component", "left").select("vertex", F.coalesce("_top", "component").alias("component")))
+        drop_cut(spark, old)
+    every = names.unionByName(names.select(F.col("component").alias("vertex"), "component").distinct())
+    whole = F.substring_index("component", "\n", 1).alias("component")  # a part stands for its vertex
+    return every.filter(~F.col("vertex").contains("\n")).select("vertex", whole)
 
 
 def grouped_plans(plans: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -126,24 +170,34 @@ def split_components(rows: DataFrame, shares: dict[str, float] | None = None, se
     return rows.join(chosen, "component", "left")
 
 
-def split_conflicts(rows: DataFrame, hot: int = HOT_COMPONENT) -> DataFrame:
+def split_conflicts(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``plan_lo``, ``plan_hi``: rows of one component whose given partitions differ.
 
     Only rows that do differ meet: each component's rows are joined between unequal partitions, never with their
-    own. Rows of components above ``hot`` rows are spread by salt.
+    own. The rows of a large component lie in a square of cells, so that about ``cell_rows`` of either side meet in a
+    task.
     """
     part = codes.partition_name(F.col("plan_partition"))
     named = rows.select("component", "plan_id", part.alias("part")).filter("part is not null")
     mixed = named.groupBy("component").agg(F.countDistinct("part").alias("_k"), F.count("*").alias("_n")).filter("_k > 1")
-    live = cut(named.join(mixed, "component").withColumn("_salts", F.when(F.col("_n") > hot, SALTS).otherwise(1)))
-    left = live.withColumn("_salt", F.pmod(F.xxhash64("plan_id"), F.col("_salts")).cast("int"))
-    right = live.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(
-        F.col("component"), "_salt", F.col("plan_id").alias("plan_hi"), F.col("part").alias("_other")
-    )
+    live = cut(named.join(mixed, "component").withColumn("_cells", F.ceil(F.col("_n") / cell_rows).cast("int")))
+    own = F.pmod(F.xxhash64("plan_id"), F.col("_cells")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
+    left = live.select("component", "plan_id", "part", own.alias("_i"), every.alias("_j"))
+    right = live.select("component", F.col("plan_id").alias("plan_hi"), F.col("part").alias("_other"), every.alias("_i"), own.alias("_j"))
     after = {"test": ("train", "validation"), "train": ("validation",)}
     pairs = None
     for one, others in after.items():
-        for other in others:
-            p = left.filter(F.col("part") == one).join(right.filter(F.col("_other") == other), ["component", "_salt"])
-            pairs = p if pairs is None else pairs.unionByName(p)
+        p = left.filter(F.col("part") == one).join(right.filter(F.col("_other").isin(*others)), ["component", "_i", "_j"])
+        pairs = p if pairs is None else pairs.unionByName(p)
     return pairs.select(F.least("plan_id", "plan_hi").alias("plan_lo"), F.greatest("plan_id", "plan_hi").alias("plan_hi")).distinct()
+
+
+def split_groups(rows: DataFrame) -> DataFrame:
+    """The same by class: one row for each component with its plan rows (``n``), those given to each partition, and the
+    pairs of rows whose partitions differ. With ``component`` of every row (``grouped_plans``) the pairs follow."""
+    part = codes.partition_name(F.col("plan_partition"))
+    count = lambda name: F.count_if(F.coalesce(part == name, F.lit(False))).alias(name)
+    g = rows.groupBy("component").agg(F.count("*").alias("n"), count("train"), count("validation"), count("test"))
+    pairs = F.col("train") * F.col("validation") + F.col("train") * F.col("test") + F.col("validation") * F.col("test")
+    return g.withColumn("pairs", pairs)
