@@ -3,7 +3,7 @@
 Connected components by random-mate contraction: in each round every vertex flips a coin, vertices with tails
 that touch one with heads collapse into it, and the edges are rewritten, until none is left. The hooks of all
 rounds are then unwound by pointer doubling. Every step is a SQL join or aggregation over tables in the
-shared checkpoint folder, where two rounds at a time leave one table; nothing of a component is gathered in one place,
+shared checkpoint folder, where each round leaves one table; nothing of a component is gathered in one place,
 and a vertex with very many neighbours is split beforehand.
 """
 
@@ -19,8 +19,6 @@ from wavemill.functions.lineage import cut, cut_at, drop_cut
 CELL_ROWS = 10_000
 #: A vertex keeps at most about so many neighbours; it is split into as many parts as that takes.
 HUB_EDGES = 100_000
-#: Rounds of contraction that one written table covers.
-AT_ONCE = 2
 #: Buckets for the cumulative weight of all components.
 BUCKETS = 4096
 
@@ -53,7 +51,10 @@ def subject_edges(recordings: DataFrame) -> DataFrame:
             )
         ).alias("_to"),
     )
-    return rows.filter("a is not null").select("a", F.explode("_to").alias("b")).filter("a <> b").distinct()
+    edges = cut(rows.filter("a is not null").select("a", F.explode("_to").alias("b")).filter("a <> b").distinct())
+    code = F.col("b").startswith("s:")
+    shared = edges.filter(~code).groupBy("b").agg(F.count("*").alias("_n")).filter("_n > 1").select("b")
+    return edges.filter(code).unionByName(edges.filter(~code).join(shared, "b", "left_semi").select("a", "b"))
 
 
 def split_hubs(edges: DataFrame, most: int = HUB_EDGES) -> DataFrame:
@@ -101,13 +102,10 @@ def components(edges: DataFrame, max_rounds: int = 200, hub_edges: int = HUB_EDG
     while True:
         if rounds >= max_rounds:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
-        left, rows = now, None
-        for _ in range(AT_ONCE):
-            hook, left = _contracted(left, rounds)
-            hooked = hook.select(F.lit(True).alias("hook"), "a", F.col("to").alias("b"))
-            rows = hooked if rows is None else rows.unionByName(hooked)
-            rounds += 1
+        hook, left = _contracted(now, rounds)
+        rounds += 1
         seen = Observation()
+        rows = hook.select(F.lit(True).alias("hook"), "a", F.col("to").alias("b"))
         rows = rows.unionByName(left.select(F.lit(False).alias("hook"), "a", "b")).observe(seen, F.count_if(~F.col("hook")).alias("edges"))
         table, path = cut_at(rows)
         tables.append(table.filter("hook").select(F.col("a").alias("vertex"), F.col("b").alias("component")))
