@@ -210,3 +210,38 @@ def test_levels_run_through_gaps_and_blocks(spark, monkeypatch, batch):
     assert set(nis) == {(k, q) for k in "ab" for q in (0.1, 1.0)}
     whole = ST.level_filter(np.array([[x for k, _, x in rows if k == "a"]]), 0.1, 0.25)[0][0, 4:].mean()
     assert abs(nis["a", 0.1] - whole) < 1e-9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_span_windows_equal_whole_series(spark, seed):
+    """Segments, places, islands and dwell in spans of 8 indices against loops over whole series, null key among them."""
+    rng = np.random.default_rng(seed)
+    rows, seg, runs, fired = [], {}, [], {}
+    for k in ("a", "b", None):
+        at = [i for i in range(120) if rng.random() > 0.12]
+        values = [None if v == 3 else int(v) for v in np.repeat(rng.integers(0, 4, 60), rng.integers(1, 20, 60))[: len(at)]]
+        start, held = None, 0
+        for n, (i, v) in enumerate(zip(at, values)):
+            start = i if not n or at[n - 1] != i - 1 else start
+            seg[k, i] = (start, n + 1)
+            if n and values[n - 1] == v:
+                runs[-1][3] += 1
+            else:
+                runs.append([k, v, i, 1])
+            held = held + 1 if v == 1 else 0
+            if held == 5:
+                fired.setdefault(k, i)
+        rows += [(k, i, v) for i, v in zip(at, values)]
+    df = spark.createDataFrame(rows, "k string, idx long, v int").repartition(3)
+    s = B.placed(B.segmented(df, ["k"], width=8), ["k"], "idx", width=8)
+    assert {(r.k, r.idx): (r.segment, r.place) for r in s.collect()} == seg
+    got = [[r.k, r.v, r.start, r.n] for r in B.islands(df, ["k"], "idx", "v", width=8).collect()]
+    assert sorted(got, key=repr) == sorted(runs, key=repr)
+    one = df.withColumn("f", F.coalesce(F.col("v") == 1, F.lit(False)))
+    assert {r.k: r.fired for r in B.dwell(one, ["k"], "idx", "f", 5).collect()} == fired
+    assert B.segmented(df.limit(0), ["k"]).count() == 0 and B.islands(df.limit(0), ["k"], "idx", "v").count() == 0
+
+
+def test_blocks_begin_at_segments(spark):
+    b = B.tumbling(signal(spark, [(i, i) for i in [3, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16]]), ["k"], 4)
+    assert col(b, "segment", "block") == [(3, 0), (9, 0), (9, 1)]

@@ -2,8 +2,8 @@
 
 Inputs are long tables: one row per sample with the series' key columns, an integer index and a value. Null keys
 form a series of their own; null values are left out by each aggregate as SQL does; empty tables give no rows.
-Windows are partitioned by the series key and work on blocks, of which there are a block length fewer than
-samples.
+Windows over samples work on spans of a series, whose few numbers are carried on; windows over a whole series work on
+blocks, of which there are a block length fewer than samples.
 """
 
 from __future__ import annotations
@@ -19,11 +19,36 @@ def clean_samples(samples: DataFrame) -> DataFrame:
     )
 
 
+def segmented(df: DataFrame, key: list[str], idx: str = "idx", width: int = 4096, name: str = "segment") -> DataFrame:
+    """Adds the index at which each row's stretch without a gap begins.
+
+    Rows are looked at in spans of ``width`` indices, of which each hands on its last start: no task sorts a series,
+    however long. An index that occurs twice is no gap.
+    """
+    parts = df.withColumn("_span", F.floor(F.col(idx) / width))
+    w = Window.partitionBy(*key, "_span").orderBy(idx)
+    gap = F.when(F.col(idx) - F.lag(idx).over(w) > 1, F.col(idx))
+    marked = parts.withColumn("_gap", gap).withColumn("_last", F.max("_gap").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy(*key, "_span").agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"), F.max("_gap").alias("_g"))
+    v = Window.partitionBy(*key).orderBy("_span")
+    first = F.when(F.coalesce(F.col("_lo") - F.lag("_hi").over(v) > 1, F.lit(True)), F.col("_lo"))
+    spans = spans.withColumn("_first", first).withColumn(
+        "_begin", F.greatest(F.max("_first").over(v.rowsBetween(Window.unboundedPreceding, 0)), F.max("_g").over(v.rowsBetween(Window.unboundedPreceding, -1)))
+    )
+    at = spans.select(*[F.col(k).alias(f"_k_{k}") for k in [*key, "_span"]], "_begin")
+    on = F.lit(True)
+    for k in [*key, "_span"]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return marked.join(at, on).withColumn(name, F.coalesce("_last", "_begin")).select(*df.columns, name)
+
+
 def tumbling(df: DataFrame, key: list[str], size: int, idx: str = "idx", x: str = "x") -> DataFrame:
-    """Complete blocks of ``size`` samples: ``block``, ``rms``, ``ptp``, ``mean``, ``n``. Partial ones are dropped."""
-    block = F.floor(F.col(idx) / size)
+    """Complete blocks of ``size`` samples, counted from the start of each stretch without a gap: ``segment`` (its first
+    index), ``block``, ``rms``, ``ptp``, ``mean``, ``n``. Partial ones are dropped."""
+    block = F.floor((F.col(idx) - F.col("segment")) / size)
     return (
-        df.groupBy(*key, block.alias("block"))
+        segmented(df, key, idx)
+        .groupBy(*key, "segment", block.alias("block"))
         .agg(
             F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"),
             (F.max(x) - F.min(x)).alias("ptp"),
@@ -49,12 +74,23 @@ def runs(df: DataFrame, key: list[str], order: str, flag: str, least: int = 1) -
     )
 
 
-def islands(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of successive rows with equal ``value`` whatever the gaps: ``value``, ``n``."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    v = Window.partitionBy(*key, value).orderBy(*order)
-    marked = df.withColumn("_g", F.row_number().over(w) - F.row_number().over(v))
-    return marked.groupBy(*key, value, "_g").agg(F.count("*").alias("n")).drop("_g")
+def islands(df: DataFrame, key: list[str], order: str, value: str, width: int = 4096) -> DataFrame:
+    """Runs of successive rows with equal ``value`` (null among them) whatever the gaps: ``value``, ``start`` (its first
+    ``order`` value) and ``n``. Rows are ordered by a unique index and looked at in spans, over whose edges runs carry."""
+    parts = df.select(*key, order, value).withColumn("_span", F.floor(F.col(order) / width))
+    w = Window.partitionBy(*key, "_span").orderBy(order)
+    new = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
+    marked = parts.withColumn("_new", new.cast("int")).withColumn("_g", F.sum("_new").over(w))
+    inner = marked.groupBy(*key, "_span", "_g", value).agg(F.min(order).alias("start"), F.count("*").alias("n"))
+    # of each span only the first and the last run can go on over its edges
+    v = Window.partitionBy(*key, "_span").orderBy("_g")
+    edge = (F.row_number().over(v) == 1) | (F.lead("_g").over(v).isNull())
+    ends = inner.withColumn("_edge", edge)
+    u = Window.partitionBy(*key).orderBy("start")
+    touching = (F.col(value).eqNullSafe(F.lag(value).over(u))) & (F.lag("_span").over(u) != F.col("_span"))
+    first = ends.filter("_edge").withColumn("_begins", F.when(touching, 0).otherwise(1)).withColumn("_run", F.sum("_begins").over(u))
+    joined = first.groupBy(*key, "_run", value).agg(F.min("start").alias("start"), F.sum("n").alias("n")).select(*key, value, "start", "n")
+    return joined.unionByName(ends.filter("not _edge").select(*key, value, "start", "n"))
 
 
 def dilate(df: DataFrame, key: list[str], order: str, flag: str, pad: int, name: str = "dilated") -> DataFrame:
@@ -81,24 +117,38 @@ def raised_cosine(distance: Column, pad: int) -> Column:
     return F.when(distance <= pad, 0.5 * (1 + F.cos(F.lit(3.141592653589793) * distance / (pad + 1)))).otherwise(0.0)
 
 
+def placed(df: DataFrame, key: list[str], order: str, width: int = 4096, name: str = "place") -> DataFrame:
+    """Numbers the rows of each series from 1 in the order of a unique index, span by span: no task sorts a series."""
+    parts = df.withColumn("_span", F.floor(F.col(order) / width))
+    counts = parts.groupBy(*key, "_span").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in [*key, "_span"]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    on = F.lit(True)
+    for k in [*key, "_span"]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_span").orderBy(order))
+    return parts.join(offsets, on).withColumn(name, F.col("_o") + inside).select(*df.columns, name)
+
+
 def scoring_mask(df: DataFrame, key: list[str], order: str, skip_segment: int, skip_series: int) -> DataFrame:
-    """Adds ``segment`` (a gap in the index begins a new one) and ``kept``: beyond the first samples of both the
-    segment and the series."""
-    w = Window.partitionBy(*key).orderBy(order)
-    begins = F.coalesce((F.col(order) - F.lag(order).over(w) > 1).cast("int"), F.lit(0))
-    seg = df.withColumn("_b", begins).withColumn("segment", F.sum("_b").over(w)).withColumn("_n", F.row_number().over(w))
-    inner = Window.partitionBy(*key, "segment").orderBy(order)
-    kept = (F.row_number().over(inner) > skip_segment) & (F.col("_n") > skip_series)
-    return seg.withColumn("kept", kept).drop("_b", "_n")
+    """Adds ``segment`` (the index at which the row's stretch without a gap begins) and ``kept``: beyond the first
+    samples of both the segment and the series. The index is unique in a series."""
+    seg = placed(segmented(df, key, order), key, order, name="_n")
+    kept = (F.col(order) - F.col("segment") >= skip_segment) & (F.col("_n") > skip_series)
+    return seg.withColumn("kept", kept).drop("_n")
 
 
 def dwell(df: DataFrame, key: list[str], order: str, flag: str, least: int) -> DataFrame:
-    """The first index of each series at which ``flag`` has held for ``least`` successive rows: ``fired``."""
-    w = Window.partitionBy(*key).orderBy(order)
-    f = Window.partitionBy(*key, "_g").orderBy(order)
-    marked = df.withColumn("_i", F.row_number().over(w)).filter(F.col(flag)).withColumn("_g", F.col("_i") - F.row_number().over(w))
-    counted = marked.withColumn("_c", F.row_number().over(f)).filter(F.col("_c") == least)
-    return counted.groupBy(*key).agg(F.min(order).alias("fired"))
+    """The first index of each series at which ``flag`` has held for ``least`` successive rows: ``fired``. The index is
+    unique in a series."""
+    rows = placed(df.select(*key, order, flag), key, order, name="_i")
+    held = islands(rows, key, "_i", flag).filter(F.col(flag) & (F.col("n") >= least))
+    at = held.groupBy(*key).agg((F.min("start") + (least - 1)).alias("_i"))
+    on = F.col("_i") == F.col("_at")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    ends = at.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_i").alias("_at"))
+    return rows.join(ends, on).select(*key, F.col(order).alias("fired"))
 
 
 def first_n(df: DataFrame, key: list[str], draw: list[str], n: int, eligible: Column) -> DataFrame:

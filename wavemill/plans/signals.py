@@ -18,19 +18,24 @@ from wavemill.plans.registry import Registry, Tables
 
 REG = Registry()
 KEY = ["rec_id", "channel"]
+SEG = [*KEY, "segment"]
 SIZE = 16
 
 _S = (
     "with s as (select distinct rec_id, channel, idx, data_uv as x from samples "
     "where data_uv is not null and not isnan(data_uv))"
 )
-_BLK = _S + (
-    f", blk as (select rec_id, channel, idx // {SIZE} as block, sqrt(avg(x * x)) as rms, max(x) - min(x) as ptp, avg(x) as mean, count(*) as n "
-    f"from s group by all having count(*) = {SIZE})"
+_SEG = _S + (
+    ", i as (select *, idx - dense_rank() over (partition by rec_id, channel order by idx) as island from s), "
+    "g0 as (select rec_id, channel, idx, x, min(idx) over (partition by rec_id, channel, island) as segment from i)"
+)
+_BLK = _SEG + (
+    f", blk as (select rec_id, channel, segment, (idx - segment) // {SIZE} as block, sqrt(avg(x * x)) as rms, max(x) - min(x) as ptp, avg(x) as mean, count(*) as n "
+    f"from g0 group by all having count(*) = {SIZE})"
 )
 _FLAG = _BLK + (
     ", med as (select rec_id, channel, median(ptp) as m from blk group by all)"
-    ", f as (select blk.rec_id, blk.channel, block, ptp, rms, m, ptp > 2 * m as hot, ptp = 0 as flat, rms > 10 * m as loud from blk join med using (rec_id, channel))"
+    ", f as (select blk.rec_id, blk.channel, segment, block, ptp, rms, m, ptp > 2 * m as hot, ptp = 0 as flat, rms > 10 * m as loud from blk join med using (rec_id, channel))"
 )
 
 
@@ -46,15 +51,15 @@ def _flags(t: Tables) -> DataFrame:
     blk = _blocks(t)
     med = blk.groupBy(*KEY).agg(F.median("ptp").alias("m"))
     return blk.join(med, KEY).select(
-        *KEY, "block", "ptp", "rms", "m",
+        *SEG, "block", "ptp", "rms", "m",
         (F.col("ptp") > 2 * F.col("m")).alias("hot"), (F.col("ptp") == 0).alias("flat"), (F.col("rms") > 10 * F.col("m")).alias("loud"),
     )
 
 
-@REG.add(_BLK + " select rec_id, channel, block, ptp, round(rms / ptp, 6) as crest from blk where ptp > 0")
+@REG.add(_BLK + " select rec_id, channel, segment, block, ptp, round(rms / ptp, 6) as crest from blk where ptp > 0")
 def block_rms_ptp(t: Tables) -> DataFrame:
     """RMS and peak-to-peak of complete blocks (WIN1, AGG1)."""
-    return _blocks(t).filter("ptp > 0").select(*KEY, "block", "ptp", F.round(F.col("rms") / F.col("ptp"), 6).alias("crest"))
+    return _blocks(t).filter("ptp > 0").select(*SEG, "block", "ptp", F.round(F.col("rms") / F.col("ptp"), 6).alias("crest"))
 
 
 @REG.add(_BLK + " select rec_id, channel, count(*) as blocks, count_if(ptp = 0)::bigint as flat from blk group by all")
@@ -87,46 +92,46 @@ def longest_run_at_extreme(t: Tables) -> DataFrame:
     s = _clean(t)
     e = s.groupBy(*KEY).agg(F.max("x").alias("hi"), F.min("x").alias("lo"))
     marked = s.join(e, KEY).withColumn("v", F.when((F.col("x") == F.col("hi")) | (F.col("x") == F.col("lo")), F.col("x")))
-    return B.islands(marked, KEY, ["idx", "x"], "v").filter("v is not null").groupBy(*KEY).agg(F.max("n").alias("longest"))
+    return B.islands(marked, KEY, "idx", "v").filter("v is not null").groupBy(*KEY).agg(F.max("n").alias("longest"))
 
 
 @REG.add(
-    _FLAG + ", g as (select rec_id, channel, block, block - row_number() over (partition by rec_id, channel order by block) as g from f where not hot and not flat) "
-    "select rec_id, channel, min(block) as start, max(block) + 1 as stop, count(*) as n from g group by rec_id, channel, g having count(*) >= 3"
+    _FLAG + ", g as (select rec_id, channel, segment, block, block - row_number() over (partition by rec_id, channel, segment order by block) as g from f where not hot and not flat) "
+    "select rec_id, channel, segment, min(block) as start, max(block) + 1 as stop, count(*) as n from g group by rec_id, channel, segment, g having count(*) >= 3"
 )
 def clean_runs_min_len(t: Tables) -> DataFrame:
     """Runs of at least three clean blocks (WIN2)."""
     f = _flags(t).withColumn("ok", ~F.col("hot") & ~F.col("flat"))
-    return B.runs(f, KEY, "block", "ok", 3)
+    return B.runs(f, SEG, "block", "ok", 3)
 
 
 @REG.add(
-    _FLAG + " select rec_id, channel, block, max(hot) over (partition by rec_id, channel order by block range between 1 preceding and 1 following) as dilated from f"
+    _FLAG + " select rec_id, channel, segment, block, max(hot) over (partition by rec_id, channel, segment order by block range between 1 preceding and 1 following) as dilated from f"
 )
 def dilate_flags(t: Tables) -> DataFrame:
     """Hot blocks and their neighbours (WIN4)."""
-    return B.dilate(_flags(t), KEY, "block", "hot", 1).select(*KEY, "block", "dilated")
+    return B.dilate(_flags(t), SEG, "block", "hot", 1).select(*SEG, "block", "dilated")
 
 
 @REG.add(
-    _FLAG + ", d as (select rec_id, channel, block, least(block - last_value(case when hot then block end ignore nulls) over (partition by rec_id, channel order by block rows between unbounded preceding and current row), "
-    "first_value(case when hot then block end ignore nulls) over (partition by rec_id, channel order by block rows between current row and unbounded following) - block) as distance from f) "
-    f"select rec_id, channel, block, coalesce(distance, -1) as distance, round(case when distance <= 2 then 0.5 * (1 + cos({pi} * distance / 3)) else 0 end, 6) as weight from d"
+    _FLAG + ", d as (select rec_id, channel, segment, block, least(block - last_value(case when hot then block end ignore nulls) over (partition by rec_id, channel, segment order by block rows between unbounded preceding and current row), "
+    "first_value(case when hot then block end ignore nulls) over (partition by rec_id, channel, segment order by block rows between current row and unbounded following) - block) as distance from f) "
+    f"select rec_id, channel, segment, block, coalesce(distance, -1) as distance, round(case when distance <= 2 then 0.5 * (1 + cos({pi} * distance / 3)) else 0 end, 6) as weight from d"
 )
 def distance_to_flag_weight(t: Tables) -> DataFrame:
     """Blocks to the nearest hot block, and a raised-cosine weight (WIN5)."""
-    d = B.flag_distance(_flags(t), KEY, "block", "hot")
-    return d.select(*KEY, "block", F.coalesce("distance", F.lit(-1)).alias("distance"), F.round(B.raised_cosine(F.col("distance"), 2), 6).alias("weight"))
+    d = B.flag_distance(_flags(t), SEG, "block", "hot")
+    return d.select(*SEG, "block", F.coalesce("distance", F.lit(-1)).alias("distance"), F.round(B.raised_cosine(F.col("distance"), 2), 6).alias("weight"))
 
 
 @REG.add(
-    _FLAG + ", r as (select rec_id, block, bool_or(hot) as hot, bool_or(flat) as flat, bool_or(loud) as loud from f group by all) "
-    "select rec_id, block, concat_ws('+', case when hot then 'ptp' end, case when flat then 'flat' end, case when loud then 'loud' end) as rules from r"
+    _FLAG + ", r as (select rec_id, segment, block, bool_or(hot) as hot, bool_or(flat) as flat, bool_or(loud) as loud from f group by all) "
+    "select rec_id, segment, block, concat_ws('+', case when hot then 'ptp' end, case when flat then 'flat' end, case when loud then 'loud' end) as rules from r"
 )
 def multi_rule_reject(t: Tables) -> DataFrame:
     """The rules that reject a block in either channel (FLT3, FLT4)."""
-    r = _flags(t).groupBy("rec_id", "block").agg(*[F.bool_or(c).alias(c) for c in ("hot", "flat", "loud")])
-    return r.select("rec_id", "block", R.reasons({"ptp": F.col("hot"), "flat": F.col("flat"), "loud": F.col("loud")}).alias("rules"))
+    r = _flags(t).groupBy("rec_id", "segment", "block").agg(*[F.bool_or(c).alias(c) for c in ("hot", "flat", "loud")])
+    return r.select("rec_id", "segment", "block", R.reasons({"ptp": F.col("hot"), "flat": F.col("flat"), "loud": F.col("loud")}).alias("rules"))
 
 
 @REG.add(
@@ -168,7 +173,7 @@ def first_failing_rule(t: Tables) -> DataFrame:
 def scoring_mask(t: Tables) -> DataFrame:
     """Samples kept beyond the burn-in of segment and series (WIN9, WIN10)."""
     m = B.scoring_mask(_clean(t), KEY, "idx", 4, 20)
-    return m.groupBy(*KEY).agg((F.max("segment") + 1).alias("segments"), F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    return m.groupBy(*KEY).agg(F.countDistinct("segment").alias("segments"), F.count("*").alias("n"), F.count_if("kept").alias("kept"))
 
 
 @REG.add(
@@ -214,12 +219,12 @@ def fir_derivative(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    _BLK + ", q as (select *, coalesce((rms + lag(rms) over (partition by rec_id, channel order by block)) / 2, 0) as step from blk) "
-    "select rec_id, channel, block, round(sum(step) over (partition by rec_id, channel order by block rows unbounded preceding), 3) as area from q"
+    _BLK + ", q as (select *, coalesce((rms + lag(rms) over (partition by rec_id, channel, segment order by block)) / 2, 0) as step from blk) "
+    "select rec_id, channel, segment, block, round(sum(step) over (partition by rec_id, channel, segment order by block rows unbounded preceding), 3) as area from q"
 )
 def cumulative_trapezoid(t: Tables) -> DataFrame:
     """The running integral of block RMS (WIN18)."""
-    return B.trapezoid(_blocks(t), KEY, "block", "rms").select(*KEY, "block", F.round("area", 3).alias("area"))
+    return B.trapezoid(_blocks(t), SEG, "block", "rms").select(*SEG, "block", F.round("area", 3).alias("area"))
 
 
 @REG.add(
@@ -234,13 +239,13 @@ def capture_positions(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    _BLK + ", e as (select *, row_number() over (partition by rec_id order by hash_order, block, channel) as place from (select *, (block * 7919 + channel * 104729 + rec_id) % 1009 as hash_order from blk where ptp > 0)) "
-    "select rec_id, channel, block, place::int as place from e where place <= 3"
+    _BLK + ", e as (select *, row_number() over (partition by rec_id order by hash_order, segment, block, channel) as place from (select *, ((segment + block) * 7919 + channel * 104729 + rec_id) % 1009 as hash_order from blk where ptp > 0)) "
+    "select rec_id, channel, segment, block, place::int as place from e where place <= 3"
 )
 def first_n_eligible(t: Tables) -> DataFrame:
     """The first three blocks with any change in a drawn order (WIN17)."""
-    d = _blocks(t).withColumn("d", (F.col("block") * 7919 + F.col("channel") * 104729 + F.col("rec_id")) % 1009)
-    return B.first_n(d, ["rec_id"], ["d", "block", "channel"], 3, F.col("ptp") > 0).select(*KEY, "block", "place")
+    d = _blocks(t).withColumn("d", ((F.col("segment") + F.col("block")) * 7919 + F.col("channel") * 104729 + F.col("rec_id")) % 1009)
+    return B.first_n(d, ["rec_id"], ["d", "segment", "block", "channel"], 3, F.col("ptp") > 0).select(*SEG, "block", "place")
 
 
 @REG.add(
@@ -470,20 +475,21 @@ def residual_rows(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    _BLK + ", e as (select *, max(block) over (partition by rec_id, channel) as last from blk), m as (select rec_id, channel, median(ptp) as m from blk group by all) "
-    "select rec_id, channel, case when max(ptp) > 1.5 * any_value(m) then 'wide' else 'settled' end as regime from e join m using (rec_id, channel) where block > last - 3 group by all"
+    _BLK + ", e as (select *, row_number() over (partition by rec_id, channel order by segment desc, block desc) as back from blk), m as (select rec_id, channel, median(ptp) as m from blk group by all) "
+    "select rec_id, channel, case when max(ptp) > 1.5 * any_value(m) then 'wide' else 'settled' end as regime from e join m using (rec_id, channel) where back <= 3 group by all"
 )
 def regime_label(t: Tables) -> DataFrame:
     """A label from the span of a series' last blocks (KER5)."""
     b = _blocks(t)
-    m = b.groupBy(*KEY).agg(F.median("ptp").alias("m"), F.max("block").alias("last"))
-    tail = b.join(m, KEY).filter(F.col("block") > F.col("last") - 3)
+    m = b.groupBy(*KEY).agg(F.median("ptp").alias("m"))
+    back = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("segment"), F.desc("block")))
+    tail = b.withColumn("_back", back).filter("_back <= 3").join(m, KEY)
     wide = F.max("ptp") > 1.5 * F.first("m")
     return tail.groupBy(*KEY).agg(F.when(wide, "wide").otherwise("settled").alias("regime"))
 
 
 @REG.add(
-    _BLK + ", c as (select rec_id, channel, median(mean) as m from blk group by all), q as (select blk.rec_id, blk.channel, block, sign(mean - m) as s, lag(sign(mean - m)) over (partition by blk.rec_id, blk.channel order by block) as p from blk join c using (rec_id, channel)) "
+    _BLK + ", c as (select rec_id, channel, median(mean) as m from blk group by all), q as (select blk.rec_id, blk.channel, block, sign(mean - m) as s, lag(sign(mean - m)) over (partition by blk.rec_id, blk.channel, segment order by block) as p from blk join c using (rec_id, channel)) "
     "select rec_id, channel, count_if(s * p < 0)::bigint as roots from q group by all"
 )
 def sign_changes(t: Tables) -> DataFrame:
@@ -491,6 +497,6 @@ def sign_changes(t: Tables) -> DataFrame:
     b = _blocks(t)
     c = b.groupBy(*KEY).agg(F.median("mean").alias("m"))
     s = F.signum(F.col("mean") - F.col("m"))
-    w = Window.partitionBy(*KEY).orderBy("block")
+    w = Window.partitionBy(*SEG).orderBy("block")
     q = b.join(c, KEY).withColumn("s", s).withColumn("p", F.lag("s").over(w))
     return q.groupBy(*KEY).agg(F.count_if(F.col("s") * F.col("p") < 0).alias("roots"))
