@@ -116,22 +116,39 @@ def test_binomial_interval(spark):
 
 
 def test_filter_gains():
-    t = np.arange(2048) / 256
+    t = np.arange(8192) / 256
     for f, want in ((10.0, 1.0), (45.0, 0.5), (100.0, 0.0)):
         x = np.sin(2 * np.pi * f * t)[None]
         y = FI.apply_gain(x, 256.0, FI.butterworth(0.5, 45.0, 4))
-        assert abs(np.std(y[0, 500:-500]) / np.std(x) - want) < 0.02
-    hum = np.sin(2 * np.pi * 50 * t)[None]
-    assert np.abs(FI.apply_gain(hum, 256.0, FI.notch(50.0, 30.0))[0, 500:-500]).max() < 0.05
+        assert abs(np.std(y[0, 2000:-2000]) / np.std(x) - want) < 0.02
+    hum = np.sin(2 * np.pi * 50 * t)[None] + np.sin(2 * np.pi * 100 * t)[None]
+    assert np.abs(FI.apply_gain(hum, 256.0, FI.notch(50.0, 30.0))[0, 2000:-2000]).max() < 0.05
+    assert np.std(FI.apply_gain(hum, 256.0, FI.notch(50.0, 30.0, harmonics=False))[0, 2000:-2000]) > 0.6
 
 
-def test_blocks_filter_like_a_whole_series(spark):
+@pytest.mark.parametrize("gain", [FI.butterworth(0.5, 45.0, 4), FI.notch(50.0, 30.0), FI.low_pass_for(64.0)])
+def test_blocks_filter_like_a_whole_series(spark, gain):
+    """Two stretches of 20 000 and 9 000 samples at two rates: as the gain over each whole stretch."""
     rng = np.random.default_rng(0)
-    x = rng.standard_normal(1600)
-    df = signal(spark, list(enumerate(x)))
-    got = np.array([r.y for r in FI.filtered(df, ["k"], 256.0, FI.butterworth(8.0, 30.0, 4)).orderBy("idx").collect()])
-    want = FI.apply_gain(x[None], 256.0, FI.butterworth(8.0, 30.0, 4))[0]
-    assert len(got) == 1600 and np.abs(got - want)[200:-200].max() < 0.02
+    parts = {(1, 5): (128.0, rng.standard_normal(20_000)), (1, 30_000): (128.0, rng.standard_normal(9_000)), (2, 0): (256.0, rng.standard_normal(17_000))}
+    rows = [(k, at + i, float(v), fs) for (k, at), (fs, x) in parts.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (3, 1, 1.0, 128.0), (4, 1, 1.0, None), (None, 1, 2.0, 128.0)], "k long, idx long, x double, fs double")
+    got = {(r.k, r.idx): r.y for r in FI.filtered(df, ["k"], gain).collect()}
+    assert len(got) == len(rows)
+    for (k, at), (fs, x) in parts.items():
+        want = FI.apply_gain(x[None], fs, gain)[0]
+        assert np.abs(np.array([got[k, at + i] for i in range(len(x))]) - want).max() < 1e-6
+
+
+def test_downsample_and_deviation(spark):
+    t = np.arange(4096) / 256
+    rows = [(1, c, i, float(v), 256.0) for c in (0, 1) for i, v in enumerate((1 + c) * 30 * np.sin(2 * np.pi * 8 * t))]
+    df = spark.createDataFrame(rows, "k long, c int, idx long, x double, fs double")
+    y = [r.y for r in FI.downsampled(df.filter("c = 0"), ["k"], 64.0).orderBy("step").collect()]
+    assert len(y) == 1024 and np.abs(np.array(y) - 30 * np.sin(2 * np.pi * 8 * t[::4]))[100:-100].max() < 1e-3
+    assert FI.downsampled(df, ["k", "c"], 100.0).count() == 0
+    row = FI.deviation_check(df, "k", "c").first()
+    assert row.n == 2 and abs(row.median_sd - 45 / np.sqrt(2)) < 0.5 and row.passed
 
 
 def test_surrogate_keeps_values():
@@ -146,6 +163,20 @@ def test_tv_derivative_of_a_ramp():
     assert np.abs(u[4:12]).max() < 0.2 and np.abs(u[20:-2] - 2).max() < 0.2
 
 
+def test_tv_derivative_is_least():
+    rng = np.random.default_rng(4)
+    n, weight, fs = 24, 0.05, 4.0
+    x = np.cumsum(rng.normal(size=(3, n)), 1)
+    u = FI.tv_derivative(x, weight, fs, 1e-7, 20_000)
+
+    def cost(v):
+        area = np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 2)]) / fs
+        return np.square(area - (row - row[0])).sum() / 2 + weight * np.abs(np.diff(v)).sum()
+
+    for row, v in zip(x, u):
+        assert all(cost(v) <= cost(v + rng.normal(0, s, n)) + 1e-9 for s in (1e-3, 1e-2, 0.1) for _ in range(200))
+
+
 def test_level_filter_is_a_kalman_filter():
     x = np.random.default_rng(2).standard_normal((2, 12))
     q, r = 0.3, 0.7

@@ -14,6 +14,7 @@ from wavemill.operators import rules as R
 from wavemill.operators import spectral as P
 from wavemill.operators import states as ST
 from wavemill.operators import stats as S
+from wavemill.operators import units as U
 from wavemill.plans.registry import Registry, Tables
 
 REG = Registry()
@@ -413,34 +414,57 @@ def _scaled(t: Tables) -> DataFrame:
     return S.rescale(_clean(t), KEY, "x", 0.0, 1.0, "z").filter("z is not null").select(*KEY, "idx", F.col("z").alias("x"))
 
 
+def _rated(t: Tables) -> DataFrame:
+    """The same with each recording's rate."""
+    fs = t.recordings.groupBy("rec_id").agg(F.max("fs_hz").alias("fs"))
+    return _scaled(t).join(fs, "rec_id")
+
+
 @REG.add()
 def band_pass(t: Tables) -> DataFrame:
-    """Each series between 0.5 and 45 Hz at 256 Hz (DSP1, DSP4)."""
-    return FI.filtered(_scaled(t), KEY, 256.0, FI.butterworth(0.5, 45.0, 4)).select(*KEY, "idx", F.round("y", 6).alias("y"))
+    """Each series between 0.5 and 45 Hz, at its own rate and never across a gap (DSP1)."""
+    return FI.filtered(_rated(t), KEY, FI.butterworth(0.5, 45.0, 4)).select(*KEY, "idx", F.round("y", 6).alias("y"))
 
 
 @REG.add()
 def notch_50(t: Tables) -> DataFrame:
-    """Each series without mains hum (DSP2)."""
-    return FI.filtered(_scaled(t), KEY, 256.0, FI.notch(50.0, 30.0)).select(*KEY, "idx", F.round("y", 6).alias("y"))
+    """Each series without mains hum and its harmonics (DSP2)."""
+    return FI.filtered(_rated(t), KEY, FI.notch(50.0, 30.0)).select(*KEY, "idx", F.round("y", 6).alias("y"))
 
 
 @REG.add()
 def fft_downsample(t: Tables) -> DataFrame:
-    """Each series at a quarter of its rate (DSP3)."""
-    return FI.downsampled(_scaled(t), KEY, 256.0, 4).select(*KEY, "idx", F.round("y", 6).alias("y"))
+    """Each series at 64 Hz (DSP3)."""
+    return FI.downsampled(_rated(t), KEY, 64.0).select(*KEY, "segment", "step", F.round("y", 6).alias("y"))
+
+
+@REG.add()
+def blink_samples(t: Tables) -> DataFrame:
+    """Samples of the 0.5 to 5 Hz copy beyond six robust SDs of its median, counted (DSP5)."""
+    y = FI.filtered(_rated(t), KEY, FI.butterworth(0.5, 5.0, 4))
+    far = F.abs(F.col("y") - F.col("center")) > 6 * F.col("robust_sd")
+    return y.join(S.robust_sd(y, KEY, "y"), KEY).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(far).alias("outside"))
+
+
+@REG.add()
+def amplitude_check(t: Tables) -> DataFrame:
+    """Each recording's median SD over its channels after a high-pass, in µV, and whether it can be right (FLT1)."""
+    units = U.recording_units(t.recordings, t.units_checks, t.samples, t.amplifiers).select("rec_id", "unit_nv")
+    fs = t.recordings.groupBy("rec_id").agg(F.max("fs_hz").alias("fs")).join(units, "rec_id")
+    uv = _clean(t).join(fs, "rec_id").withColumn("x", F.col("x") * F.col("unit_nv") / 1000)
+    return FI.deviation_check(uv, "rec_id", "channel").select("rec_id", "n", F.round("median_sd", 6).alias("median_sd"), "passed")
 
 
 @REG.add()
 def aaft_surrogate(t: Tables) -> DataFrame:
-    """One surrogate of each series, block by block (DSP13)."""
-    return FI.surrogates(_scaled(t), KEY, 42).select(*KEY, "idx", F.round("y", 6).alias("y"))
+    """One surrogate of each stretch without a gap (DSP13)."""
+    return FI.surrogates(_rated(t), KEY, 42).select(*KEY, "idx", F.round("y", 6).alias("y"))
 
 
 @REG.add()
 def tv_derivative(t: Tables) -> DataFrame:
-    """Total-variation derivatives of 32-sample windows (DSP15)."""
-    return FI.derivative(_scaled(t), KEY, 0.1).select(*KEY, "window", "step", F.round("slope", 4).alias("slope"))
+    """Total-variation derivatives per second of 32-sample windows (DSP15)."""
+    return FI.derivative(_rated(t), KEY, 1e-4).select(*KEY, "segment", "window", "step", F.round("slope", 2).alias("slope"))
 
 
 @REG.add()
