@@ -198,17 +198,52 @@ def test_equation_refuses_other_text():
         regress.equation("b + 1", {"a": "x"})
 
 
-def test_order_of_a_known_process(spark):
+def two_channels(spark, n=330):
     rng = np.random.default_rng(5)
-    rows = []
+    rows, whole = [], {}
+    m1, m2 = np.array([[0.5, 0.2], [0.0, 0.3]]), np.array([[-0.4, 0.0], [0.3, -0.3]])
     for rec in range(10):
-        z = [0.0, 0.0]
-        for _ in range(400):
-            z.append(0.5 * z[-1] - 0.6 * z[-2] + rng.standard_normal())
-        rows += [(rec, 0, i, float(v)) for i, v in enumerate(z[50:])]
-    s = spark.createDataFrame(rows, "rec_id long, channel int, idx long, data_uv double")
-    mse = {r.p: r.mse for r in regress.cross_validated_order(s, 3, 5).collect()}
-    assert mse[1] > mse[2] * 1.2 and abs(mse[3] / mse[2] - 1) < 0.02
+        z = [np.zeros(2), np.zeros(2)]
+        for _ in range(n):
+            z.append(m1 @ z[-1] + m2 @ z[-2] + rng.standard_normal(2))
+        z = np.array(z[30:])
+        whole[rec] = z
+        rows += [(rec, c, i + (i >= 120), float(z[i, c])) for i in range(len(z)) for c in (0, 1)]
+    recordings = spark.createDataFrame([(r, f"sub-{r // 2}", "now") for r in range(10)], "rec_id long, subject string, received_at string")
+    return spark.createDataFrame(rows, "rec_id long, channel int, idx long, data_uv double").repartition(5), recordings, whole
+
+
+def test_order_of_a_known_process(spark, monkeypatch):
+    monkeypatch.setattr(regress, "DESIGN_BLOCK", 50)
+    samples, recordings, whole = two_channels(spark)
+    found = regress.cross_validated_order(samples, recordings, 4, 5).collect()
+    mse = {r.p: r.mse for r in found}
+    assert mse[1] > mse[2] * 1.1 and abs(mse[3] / mse[2] - 1) < 0.02 and [r.p for r in found if r.chosen][0] in (2, 3)
+    # the same by ordinary least squares over the whole design
+    fold = {r.rec_id: r.fold for r in regress.subject_folds(recordings, 5).collect()}
+    assert all(fold[r] == fold[r ^ 1] for r in range(10))
+    parts = {}
+    for rec, z in whole.items():
+        z = (z - z.mean(0)) / z.std(0, ddof=1)
+        for part in (z[:120], z[120:]):
+            parts.setdefault(fold[rec], []).append(regress.lag_matrix(part[:, 0], part[:, 1], 4))
+    parts = {k: np.vstack(v) for k, v in parts.items()}
+    for p in (1, 3):
+        total = 0.0
+        for k, held in parts.items():
+            rest = np.vstack([v for j, v in parts.items() if j != k])
+            coef = np.linalg.lstsq(rest[:, : 2 * p + 1], rest[:, -2:], rcond=None)[0]
+            total += np.square(held[:, -2:] - held[:, : 2 * p + 1] @ coef).sum()
+        assert abs(mse[p] - total / (2 * sum(map(len, parts.values())))) < 1e-8
+    s = {r.rec_id: (r.mse, r.n) for r in regress.scores(samples, recordings, 4, 5).collect()}
+    n = len(whole[0])
+    assert set(s) == set(range(10)) and all(v[1] == n - 8 and 0.2 < v[0] < 1 for v in s.values())
+
+
+def test_order_of_empty_tables(spark):
+    samples, recordings, _ = two_channels(spark, 40)
+    assert regress.cross_validated_order(samples.limit(0), recordings, 4, 5).count() == 0
+    assert regress.scores(samples, recordings.limit(0), 4, 5).count() == 0
 
 
 def test_resampling_draws_like_chance(spark):

@@ -342,11 +342,11 @@ def json_hygiene(t: Tables) -> DataFrame:
 
 @REG.add()
 def var_order(t: Tables) -> DataFrame:
-    """Autoregression order by five-fold cross-validation over series, from sums of products alone (STA10, AGG21, TOP1)."""
-    return regress.cross_validated_order(t.samples, 4, 5)
+    """Order, 1 to 32, of the autoregression of both channels by cross-validation over subjects (STA10, AGG21, TOP1)."""
+    return regress.cross_validated_order(t.samples, t.recordings)
 
 
 @REG.add()
 def var_scores(t: Tables) -> DataFrame:
-    """One-step prediction error of each recording under the pooled fit (STA10, STA11)."""
-    return regress.scores(t.samples, 2).select("rec_id", F.round("mse", 9).alias("mse"), "n")
+    """One-step prediction error of each recording under the pooled fit of that order (STA10, STA11)."""
+    return regress.scores(t.samples, t.recordings).select("rec_id", F.round("mse", 9).alias("mse"), "n")
