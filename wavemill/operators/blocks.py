@@ -190,14 +190,18 @@ def fractional_lag(df: DataFrame, key: list[str], order: str, x: str, delay: flo
     return both.withColumn(name, (1 - part) * F.col(f"{x}_{n}") + part * F.col(f"{x}_{n + 1}")).drop(f"{x}_{n}", f"{x}_{n + 1}")
 
 
-def fir(df: DataFrame, key: list[str], order: str, x: str, taps: dict[int, float], name: str) -> DataFrame:
-    """The weighted sum of neighbours (lag → weight); null where the kernel does not fit."""
-    wide = lagged(df, key, order, x, list(taps))
-    cols = {k: f"{x}_{k}".replace("-", "m") for k in taps}
-    total = None
-    for k, c in taps.items():
-        total = F.lit(c) * F.col(cols[k]) if total is None else total + F.lit(c) * F.col(cols[k])
-    return wide.withColumn(name, total).drop(*cols.values())
+def fir(df: DataFrame, key: list[str], order: str, x: str, kernels: dict[str, dict[int, float]]) -> DataFrame:
+    """Weighted sums of neighbours, for each name its taps (lag → weight), of one gathering of neighbours; null where the
+    kernel does not fit."""
+    lags = sorted({k for taps in kernels.values() for k in taps})
+    wide = lagged(df, key, order, x, lags)
+    cols = {k: f"{x}_{k}".replace("-", "m") for k in lags}
+    for name, taps in kernels.items():
+        total = None
+        for k, c in taps.items():
+            total = F.lit(c) * F.col(cols[k]) if total is None else total + F.lit(c) * F.col(cols[k])
+        wide = wide.withColumn(name, total)
+    return wide.drop(*cols.values())
 
 
 def trapezoid(df: DataFrame, key: list[str], order: str, x: str, name: str = "area") -> DataFrame:

@@ -65,3 +65,27 @@ def recurrence(df: DataFrame, member: str, elements: str, num: int = 7, den: int
     sets = F.lit(df.count())
     each = df.select(member, F.explode(F.array_distinct(F.col(elements))).alias("element")).groupBy("element").agg(F.count("*").alias("n"))
     return each.select("element", "n", (F.col("n") * den >= sets * num).alias("stable"))
+
+
+def equal_quotas(rows: DataFrame, group: str, row: str, mean: int) -> DataFrame:
+    """``row`` and ``group`` of rows drawn under a budget of ``mean`` for each group, in equal quotas.
+
+    The level to which all groups can be filled comes from how many groups have how many rows, one row a size; groups
+    above the level share the remainder in a drawn order. Rows are drawn by a mixed number, first in salts, so that no
+    task sorts a large group. ``group`` and ``row`` are whole numbers, distinct together.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    budget, groups = mean * sizes.count(), Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    levels = sizes.groupBy("_n").agg(F.count("*").alias("_g")).withColumns({"_upto": F.sum("_g").over(groups), "_rows": F.sum(F.col("_n") * F.col("_g")).over(groups)})
+    total = sizes.count()
+    used = F.col("_rows") + F.col("_n") * (total - F.col("_upto"))
+    best = levels.filter(used <= budget).agg(F.max(F.struct("_n", used.alias("used"), (total - F.col("_upto")).alias("more"))).alias("b")).first().b
+    level, spent, more = (best["_n"], best["used"], best["more"]) if best else (0, 0, total)
+    fill, extra = (level + (budget - spent) // more, (budget - spent) % more) if more else (level, 0)
+    above = sizes.filter(F.col("_n") > fill).withColumn("_d", F.col(group) * 7919 % 100003)
+    lucky = above.orderBy("_d", group).limit(int(extra)).select(group, F.lit(1).alias("_x"))
+    quota = sizes.join(lucky, group, "left").select(group, (F.least("_n", F.lit(int(fill))) + F.coalesce("_x", F.lit(0))).alias("_q"))
+    order = [F.col(row) * 31 % 1009, F.col(row)]
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(row), F.lit(64)))
+    first = salted.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_s").orderBy(*order))).join(quota, group).filter("_k <= _q")
+    return first.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter("_k <= _q").select(row, group)

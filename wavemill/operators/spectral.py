@@ -18,12 +18,14 @@ def window_weights(size: int, periodic: bool = False) -> list[float]:
     return [0.5 - 0.5 * cos(2 * pi * t / (size if periodic else size - 1)) for t in range(size)]
 
 
-def blocks_of(df: DataFrame, key: list[str], idx: str, x: str, size: int) -> DataFrame:
-    """Complete blocks of ``size`` samples as arrays in index order: ``block``, ``v``. One aggregation."""
-    block = F.floor(F.col(idx) / size)
-    packed = df.groupBy(*key, block.alias("block")).agg(F.collect_list(F.struct(idx, x)).alias("_s"))
-    full = packed.filter(F.size("_s") == size)
-    return full.select(*key, "block", F.transform(F.array_sort("_s"), lambda s: s[x].cast("double")).alias("v"))
+def blocks_of(df: DataFrame, key: list[str], place: Column, x: str, size: int, step: int) -> DataFrame:
+    """Complete blocks of ``size`` samples every ``step`` places, a divisor of ``size``, as arrays in order: ``block``,
+    ``v``. One aggregation."""
+    first = F.floor(place / step)
+    of = F.filter(F.array(*[first - k for k in range(size // step)]), lambda b: b >= 0)
+    spread = df.select(*key, place.alias("_p"), F.col(x).cast("double").alias("_x"), F.explode(of).alias("block"))
+    packed = spread.groupBy(*key, "block").agg(F.collect_list(F.struct("_p", "_x")).alias("_s"))
+    return packed.filter(F.size("_s") == size).select(*key, "block", F.transform(F.array_sort("_s"), lambda s: s["_x"]).alias("v"))
 
 
 def _dot(a: Column, b: Column) -> Column:

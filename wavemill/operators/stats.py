@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.distributions import beta_quantile, f_quantile
+from wavemill.functions.lineage import cut
 from wavemill.functions.ranking import ordered_rank
 
 MAD_SCALE = 1.4826
@@ -98,12 +99,14 @@ def drawn(b: Column, slot: Column, n: Column) -> Column:
 def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> DataFrame:
     """``b`` bootstrap resamples of the rows of a small or large table: columns ``b`` and ``columns``.
 
-    Rows are numbered by ``order``, a unique whole number; each slot of each resample draws a number, and one
-    join brings the drawn rows; the work is b × rows, spread over the slots.
+    Rows are numbered by ``order``, a unique whole number; each slot of each resample draws a number, and one join
+    brings the drawn rows: Spark sends the numbered rows to the slots where they are few, so that nothing but sums
+    by ``b`` is shuffled. The work is b × rows, spread over the draws.
     """
-    numbered = ordered_rank(values, order).select((F.col("rank") - 1).alias("_i"), *columns)
-    n = F.lit(max(values.count(), 1))
-    draws = numbered.select(F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
+    numbered = cut(ordered_rank(values, order).select((F.col("rank") - 1).alias("_i"), *columns))
+    n = F.lit(max(numbered.count(), 1))
+    draws = numbered.select(F.col("_i").alias("_slot")).repartition(values.sparkSession.sparkContext.defaultParallelism)
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     hit = draws.select("b", drawn(F.col("b").cast("long"), F.col("_slot"), n).alias("_i"))
     return hit.join(numbered, "_i").select("b", *columns)
 

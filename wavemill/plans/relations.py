@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import codes
 from wavemill.operators import rules as R
+from wavemill.operators.blocks import placed
 from wavemill.plans.registry import Registry, Tables
 
 REG = Registry()
@@ -26,17 +27,22 @@ def _recordings(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    "with m as (select rel_path, any_value(sha256) as a, any_value(n_bytes) as an from manifest_files group by all), "
-    "w as (select rel_path, max(sha256) as b, max(n_bytes) as bn from mirror_files group by all) "
+    "with m as (select rel_path, max(row(listed_at, coalesce(sha256, ''), coalesce(n_bytes, -1))) as v from manifest_files group by all), "
+    "w as (select rel_path, max(row(seen_at, coalesce(sha256, ''), coalesce(n_bytes, -1))) as v from mirror_files group by all) "
     "select coalesce(m.rel_path, w.rel_path) as rel_path, case when w.rel_path is null then 'missing' when m.rel_path is null then 'unexpected' "
-    "when an is distinct from bn then 'size' when a is distinct from b then 'hash' else 'ok' end as status from m full join w on m.rel_path = w.rel_path"
+    "when m.v[3] <> w.v[3] then 'size' when m.v[2] <> w.v[2] then 'hash' else 'ok' end as status from m full join w on m.rel_path = w.rel_path"
 )
 def manifest_full_outer(t: Tables) -> DataFrame:
-    """Listing against listing as written: missing, unexpected, size, then hash (JN6, FLT15)."""
-    m = t.manifest_files.groupBy("rel_path").agg(F.first("sha256").alias("a"), F.first("n_bytes").alias("an"))
-    w = t.mirror_files.groupBy(F.col("rel_path").alias("p")).agg(F.max("sha256").alias("b"), F.max("n_bytes").alias("bn"))
+    """Latest listing against latest scan, as written: missing, unexpected, size, then hash (JN6, FLT15). Of equally late
+    ones the greatest digest and size hold together."""
+
+    def last(df: DataFrame, at: str) -> DataFrame:
+        whole = F.struct(F.col(at).alias("at"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
+        return df.groupBy("rel_path").agg(F.max(whole).alias("v"))
+
+    m, w = last(t.manifest_files, "listed_at"), last(t.mirror_files, "seen_at").select(F.col("rel_path").alias("p"), F.col("v").alias("u"))
     j = m.join(w, F.col("rel_path") == F.col("p"), "full_outer")
-    rules = {"missing": F.col("p").isNull(), "unexpected": F.col("rel_path").isNull(), "size": ~F.col("an").eqNullSafe(F.col("bn")), "hash": ~F.col("a").eqNullSafe(F.col("b"))}
+    rules = {"missing": F.col("p").isNull(), "unexpected": F.col("rel_path").isNull(), "size": F.col("v.n_bytes") != F.col("u.n_bytes"), "hash": F.col("v.sha256") != F.col("u.sha256")}
     return j.select(F.coalesce("rel_path", "p").alias("rel_path"), R.first_reason(rules).alias("status"))
 
 
@@ -178,14 +184,31 @@ def session_consequence(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    "with c as (select distinct * from units_checks), v as (select rec_id, coalesce(passed, false) as ok, row_number() over (partition by rec_id order by check_id) as v from c) "
-    "select rec_id from v where v <= 2 group by rec_id having bool_and(ok) and count(*) = 2"
+    _REC + ", c as (select distinct check_id, rec_id, passed from units_checks), v as (select subject_no, wave, bool_and(coalesce(passed, false)) as ok from c join r using (rec_id) where subject_no is not null group by all), "
+    "n as (select count(distinct wave) as n from v) select subject_no from v, n group by subject_no, n.n having bool_and(ok) and count(*) * 2 >= n.n"
 )
 def matched_in_every_variant(t: Tables) -> DataFrame:
-    """Recordings whose first two checks both passed (JN4)."""
-    v = F.row_number().over(Window.partitionBy("rec_id").orderBy("check_id"))
-    c = t.units_checks.distinct().withColumn("v", v).filter("v <= 2")
-    return R.in_every(c, "rec_id", "v", "passed", 2)
+    """Subjects with checks in at least half of all deliveries, every check of each of which passed (JN4)."""
+    r = _recordings(t).select("rec_id", "subject_no", "wave").filter("subject_no is not null")
+    c = t.units_checks.select("check_id", "rec_id", "passed").distinct().join(r, "rec_id")
+    v = c.groupBy("subject_no", "wave").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"))
+    n = v.agg(F.countDistinct("wave")).first()[0]  # one number
+    return v.groupBy("subject_no").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("k")).filter(F.col("ok") & (F.col("k") * 2 >= n)).select("subject_no")
+
+
+@REG.add(
+    _REC + ", a as (select distinct rec_id, channel, sd_uv from features), b as (select rec_id, channel, count(*) as n from (select distinct rec_id, channel, idx, data_uv from samples where data_uv is not null and not isnan(data_uv)) group by all) "
+    "select coalesce(x.rec_id, y.rec_id) as rec_id, coalesce(x.channel, y.channel) as channel, x.k as features, y.n as samples, "
+    "case when x.rec_id is null then 'no_features' when y.rec_id is null then 'no_samples' when x.k > 1 then 'several_features' when y.n < 100 then 'short' else 'joined' end as cover "
+    "from (select rec_id, channel, count(*) as k from a group by all) x full join b y on x.rec_id = y.rec_id and x.channel = y.channel"
+)
+def score_cover(t: Tables) -> DataFrame:
+    """Feature rows with the series they score, one to one, and why a side has no or no single partner (JN1)."""
+    a = t.features.select("rec_id", "channel", "sd_uv").distinct().groupBy("rec_id", "channel").agg(F.count("*").alias("features"))
+    s = t.samples.select("rec_id", "channel", "idx", "data_uv").filter("data_uv is not null and not isnan(data_uv)").distinct()
+    b = s.groupBy("rec_id", "channel").agg(F.count("*").alias("samples"))
+    rules = {"no_features": F.col("features").isNull(), "no_samples": F.col("samples").isNull(), "several_features": F.col("features") > 1, "short": F.col("samples") < 100}
+    return a.join(b, ["rec_id", "channel"], "full_outer").select("rec_id", "channel", "features", "samples", R.first_reason(rules, "joined").alias("cover"))
 
 
 _AXES = ((2.0, 10.0, 20.0, 40.0, 80.0), (8.0, 9.5, 11.0, 12.5), (0.5, 1.5, 3.0))
@@ -323,33 +346,44 @@ def k_folds(t: Tables) -> DataFrame:
     return p.select(F.col("n").alias("subject_no"), fold.cast("int").alias("fold"))
 
 
+_BUDGET = 2  # rows for each subject on average
+
+
 @REG.add(
-    _REC + ", g as (select subject_no, count(*) as n from r group by all), q as (select *, row_number() over (partition by subject_no order by rec_id * 31 % 1009, rec_id) as k from r) "
-    "select rec_id, subject_no from q where k <= 2"
+    _REC + ", r1 as (select distinct rec_id, subject_no from r where subject_no is not null), g as (select subject_no, count(*) as n from r1 group by all), tot as (select count(*) * 2 as budget from g), "
+    "lv as (select distinct n as level from g), f as (select level, sum(least(n, level)) as used, count_if(n > level) as more from lv, g group by all), "
+    "best as (select max(case when used <= budget then level end) as level, any_value(budget) as budget from f, tot), "
+    "b2 as (select coalesce(best.level, 0) as level, budget, coalesce((select used from f where f.level = best.level), 0) as used, coalesce((select more from f where f.level = best.level), (select count(*) from g)) as more from best), "
+    "lev as (select level + case when more > 0 then (budget - used) // more else 0 end as fill, case when more > 0 then (budget - used) % more else 0 end as extra from b2), "
+    "w as (select subject_no, n, fill, extra, row_number() over (order by (n > fill) desc, subject_no * 7919 % 100003, subject_no) as k from g, lev), "
+    "qt as (select subject_no, least(n, fill) + case when n > fill and k <= extra then 1 else 0 end as quota from w), "
+    "o as (select r1.*, row_number() over (partition by subject_no order by rec_id * 31 % 1009, rec_id) as k from r1) "
+    "select rec_id, subject_no from o join qt using (subject_no) where k <= quota"
 )
 def equal_quota(t: Tables) -> DataFrame:
-    """At most two drawn recordings of each subject: equal quotas for all (SMP5).
-
-    A first pass keeps two of each of 64 salts of a subject, so that no task sorts a large one whole.
-    """
-    r = _recordings(t).select("rec_id", "subject_no").withColumn("d", F.col("rec_id") * 31 % 1009).withColumn("s", F.pmod(F.xxhash64("rec_id"), F.lit(64)))
-    one = r.withColumn("k", F.row_number().over(Window.partitionBy("subject_no", "s").orderBy("d", "rec_id"))).filter("k <= 2")
-    two = one.withColumn("k", F.row_number().over(Window.partitionBy("subject_no").orderBy("d", "rec_id"))).filter("k <= 2")
-    return two.select("rec_id", "subject_no")
+    """Drawn recordings under a budget of two for each subject on average, in equal quotas: what small subjects leave
+    goes to larger ones, the remainder to drawn subjects (SMP5)."""
+    r = _recordings(t).select("rec_id", "subject_no").filter("subject_no is not null").distinct()
+    return R.equal_quotas(r, "subject_no", "rec_id", _BUDGET)
 
 
 @REG.add(
-    f"with s as (select {_NUM} as n, max(case when mode = 'pilot' then 1 else 0 end) as pilot, count(distinct {_SES}) as k from subject_plans group by all) "
-    "select n as subject_no, pilot = 1 as is_pilot, k > 1 as has_t2, case when pilot = 1 then 'train' when (n * 48271 + 42) % 1000 < 300 then 'test' else 'train' end as side from s"
+    f"with s as (select {_NUM} as n, max(case when mode = 'pilot' then 1 else 0 end) as pilot, count(distinct {_SES}) > 1 as t2 from subject_plans where {_NUM} is not null group by 1), "
+    "p as (select *, row_number() over (partition by pilot, t2 order by n * 48271 % 2147483647, n) as k, count(*) over (partition by pilot, t2) as c from s) "
+    "select n as subject_no, pilot = 1 as is_pilot, t2 as has_t2, case when pilot = 0 and k <= (3 * c + 5) // 10 then 'test' when pilot = 0 and k <= (3 * c + 5) // 10 + (c - (3 * c + 5) // 10) // 5 then 'validation' else 'train' end as side from p"
 )
 def train_test_split(t: Tables) -> DataFrame:
-    """Subjects to sides by a seeded number, pilots always in train (SMP1, SMP11)."""
-    n = codes.subject_number(F.col("subject"))
-    s = t.subject_plans.groupBy(n.alias("subject_no")).agg(
-        F.bool_or(F.col("mode") == "pilot").alias("is_pilot"), (F.countDistinct(codes.session_code(F.col("session"))) > 1).alias("has_t2")
+    """Subjects to sides in exact numbers by stratum (pilot or not, second session or not): a seeded order, three tenths
+    to test, a fifth of the rest to validation, pilots always in train (SMP1, SMP3, SMP11)."""
+    s = t.subject_plans.groupBy(codes.subject_number(F.col("subject")).alias("subject_no")).agg(
+        F.bool_or(F.coalesce(F.col("mode") == "pilot", F.lit(False))).alias("is_pilot"), (F.countDistinct(codes.session_code(F.col("session"))) > 1).alias("has_t2")
     )
-    side = F.when(F.col("is_pilot"), "train").when((F.col("subject_no") * 48271 + 42) % 1000 < 300, "test").otherwise("train")
-    return s.withColumn("side", side)
+    drawn = s.filter("subject_no is not null").withColumn("_d", F.col("subject_no") * 48271 % 2147483647 * 1_000_000_000 + F.col("subject_no") % 1_000_000_000)
+    p = placed(drawn, ["is_pilot", "has_t2"], "_d", 1 << 52, "_k").join(drawn.groupBy("is_pilot", "has_t2").agg(F.count("*").alias("_c")), ["is_pilot", "has_t2"])
+    test = F.floor((3 * F.col("_c") + 5) / 10)
+    held = test + F.floor((F.col("_c") - test) / 5)
+    side = F.when(F.col("is_pilot") | (F.col("_k") > held), "train").when(F.col("_k") <= test, "test").otherwise("validation")
+    return p.select("subject_no", "is_pilot", "has_t2", side.alias("side"))
 
 
 @REG.add(
@@ -408,17 +442,18 @@ def manifest_digest(t: Tables) -> DataFrame:
 
 @REG.add(
     "with b as (select *, min(p_retailprice) over (partition by p_brand order by p_size, p_retailprice, p_partkey rows between unbounded preceding and 1 preceding) as best from part), "
-    "f as (select p_brand, p_retailprice, row_number() over (partition by p_brand order by p_size, p_partkey) as pos from b where best is null or p_retailprice < best) "
+    "f as (select p_brand, p_retailprice, row_number() over (partition by p_brand order by p_size, p_partkey) as pos from b where best is null or p_retailprice < best), "
+    "o as (select p_brand, coalesce(lead(p_brand) over (order by p_brand), first_value(p_brand) over (order by p_brand)) as other from (select distinct p_brand from part)) "
     "select a.p_brand, b.p_brand as other, count(*) as same_places, bool_and(abs(a.p_retailprice - b.p_retailprice) <= 0.05 * abs(b.p_retailprice)) as equivalent "
-    "from f a join f b on a.pos = b.pos and b.p_brand = case a.p_brand when 'Brand#1' then 'Brand#2' when 'Brand#2' then 'Brand#3' when 'Brand#3' then 'Brand#1' end group by all"
+    "from o join f a on a.p_brand = o.p_brand join f b on a.pos = b.pos and b.p_brand = o.other group by all"
 )
 def front_comparison(t: Tables) -> DataFrame:
-    """Fronts compared place by place within a tolerance (KER19)."""
+    """The front of each brand with that of the next in order, place by place within a tolerance (KER19)."""
     front = R.pareto(t.part, ["p_brand"], "p_size", "p_retailprice", "p_partkey")
     pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey"))
     f = front.select("p_brand", "p_retailprice", pos.alias("pos"))
-    nxt = F.create_map(*[F.lit(x) for pair in (("Brand#1", "Brand#2"), ("Brand#2", "Brand#3"), ("Brand#3", "Brand#1")) for x in pair])
-    a = f.withColumn("other", nxt[F.col("p_brand")]).filter("other is not null")
+    w = Window.orderBy("p_brand").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a brand
+    o = t.part.select("p_brand").distinct().select("p_brand", F.coalesce(F.lead("p_brand").over(Window.orderBy("p_brand")), F.first("p_brand").over(w)).alias("other"))
     b = f.select(F.col("p_brand").alias("other"), F.col("p_retailprice").alias("q"), "pos")
     close = F.abs(F.col("p_retailprice") - F.col("q")) <= 0.05 * F.abs("q")
-    return a.join(b, ["other", "pos"]).groupBy("p_brand", "other").agg(F.count("*").alias("same_places"), F.bool_and(close).alias("equivalent"))
+    return f.join(o, "p_brand").join(b, ["other", "pos"]).groupBy("p_brand", "other").agg(F.count("*").alias("same_places"), F.bool_and(close).alias("equivalent"))

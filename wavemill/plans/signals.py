@@ -8,6 +8,7 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.functions.quantiles import exact_quantiles
 from wavemill.operators import blocks as B
 from wavemill.operators import filters as FI
 from wavemill.operators import rules as R
@@ -214,8 +215,7 @@ def fractional_lag(t: Tables) -> DataFrame:
 )
 def fir_derivative(t: Tables) -> DataFrame:
     """Central difference and matched smoothing where the kernel fits (WIN8)."""
-    s = B.fir(_clean(t), KEY, "idx", "x", {-1: 0.5, 1: -0.5}, "slope")
-    s = B.fir(s, KEY, "idx", "x", {1: 0.25, 0: 0.5, -1: 0.25}, "smooth")
+    s = B.fir(_clean(t), KEY, "idx", "x", {"slope": {-1: 0.5, 1: -0.5}, "smooth": {1: 0.25, 0: 0.5, -1: 0.25}})
     return s.filter("slope is not null").select(*KEY, "idx", "slope", "smooth")
 
 
@@ -335,7 +335,7 @@ def spectral_peak(t: Tables) -> DataFrame:
 )
 def spectral_percentiles(t: Tables) -> DataFrame:
     """Quartiles of each bin over all epochs (AGG4)."""
-    q = P.power(_spectrum(t)).groupBy("k").agg(F.percentile("power", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(P.power(_spectrum(t)), ["k"], "power", [0.25, 0.5, 0.75], "q")
     return q.select(F.col("k").cast("long").alias("k"), *[F.round(F.col("q")[i], 5).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
@@ -393,22 +393,53 @@ _W = 32
 
 
 @REG.add(
-    _S + f", b as (select rec_id, channel, idx // {_W} as block, list(x order by idx) as v from s group by all having count(*) = {_W}), "
-    f"u as (select rec_id, channel, block, unnest(v) as x, unnest(range({_W})) as t from b), "
-    "c as (select *, x - avg(x) over (partition by rec_id, channel, block) as y from u), "
-    f"d as (select rec_id, channel, block, k, sum(y * (0.5 - 0.5 * cos(2 * pi() * t / {_W})) * cos(2 * pi() * k * t / {_W})) as re, sum(y * (0.5 - 0.5 * cos(2 * pi() * t / {_W})) * sin(2 * pi() * k * t / {_W})) as im from c, (select unnest(range(1, 17)) as k) group by all), "
+    _SEG + f", h as (select rec_id, channel, segment, idx, x, unnest([(idx - segment) // {_W // 2}, (idx - segment) // {_W // 2} - 1]) as block from g0), "
+    f"b as (select rec_id, channel, segment, block, list(x order by idx) as v from h where block >= 0 group by all having count(*) = {_W}), "
+    f"u as (select rec_id, channel, segment, block, unnest(v) as x, unnest(range({_W})) as t from b), "
+    "c as (select *, x - avg(x) over (partition by rec_id, channel, segment, block) as y from u), "
+    f"d as (select rec_id, channel, segment, block, k, sum(y * (0.5 - 0.5 * cos(2 * pi() * t / {_W})) * cos(2 * pi() * k * t / {_W})) as re, sum(y * (0.5 - 0.5 * cos(2 * pi() * t / {_W})) * sin(2 * pi() * k * t / {_W})) as im from c, (select unnest(range(1, 17)) as k) group by all), "
     "w as (select rec_id, channel, k, avg(re * re + im * im) as p from d group by all), t as (select rec_id, channel, sum(p) as total from w group by all) "
     "select rec_id, channel, k, round(p / total, 6) as share from w join t using (rec_id, channel) where total > 1e-9"
 )
 def welch_shares(t: Tables) -> DataFrame:
-    """Mean spectrum over a series' blocks, as shares of its total (DSP10)."""
-    b = P.blocks_of(_clean(t), KEY, "idx", "x", _W)
-    p = P.power(P.transform(b, [*KEY, "block"], _W, list(range(1, 17)), periodic=True))
+    """Mean spectrum over a series' blocks that overlap by half, as shares of its total (WIN15, DSP10)."""
+    b = P.blocks_of(B.segmented(_clean(t), KEY), SEG, F.col("idx") - F.col("segment"), "x", _W, _W // 2)
+    p = P.power(P.transform(b, [*SEG, "block"], _W, list(range(1, 17)), periodic=True))
     w = p.groupBy(*KEY, "k").agg(F.avg("power").alias("p"))
     total = w.groupBy(*KEY).agg(F.sum("p").alias("total"))
     return w.join(total, KEY).filter("total > 1e-9").select(*KEY, F.col("k").cast("long").alias("k"), F.round(F.col("p") / F.col("total"), 6).alias("share"))
 
 
+_TAUS = [round(0.5 * 1.5**i, 6) for i in range(12)]
+
+
+@REG.add(
+    _EMB + f", g as (select vec_id, i, sum(power * l) as pl, sum(power * power) as pp, sum(l * l) as ll from (select p.*, i, 1 / (1 + pow(k / tau, 2)) as l from p, (values {', '.join(f'({i}, {x}::double)' for i, x in enumerate(_TAUS))}) as g(i, tau)) group by all) "
+    "select vec_id, arg_min(i, (round((pp - pl * pl / ll) / pp, 9), i))::int as corner, round(arg_min(pl / ll, (round((pp - pl * pl / ll) / pp, 9), i)), 4) as scale from g group by all"
+)
+def corner_fit(t: Tables) -> DataFrame:
+    """The corner, of a log-spaced grid, and the scale at which a Lorentzian fits each spectrum with the least squares; ties
+    to the lower corner (TOP6). The grid is a set of sums in one aggregation."""
+    p, k = F.col("power"), F.col("k")
+    shape = [1 / (1 + F.pow(k / x, 2)) for x in _TAUS]
+    sums = [F.sum(p * s).alias(f"pl{i}") for i, s in enumerate(shape)] + [F.sum(s * s).alias(f"ll{i}") for i, s in enumerate(shape)]
+    g = P.power(_spectrum(t)).groupBy("vec_id").agg(F.sum(p * p).alias("pp"), *sums)
+    fit = [F.struct(F.round((F.col("pp") - F.col(f"pl{i}") ** 2 / F.col(f"ll{i}")) / F.col("pp"), 9).alias("sse"), F.lit(i).alias("i"), (F.col(f"pl{i}") / F.col(f"ll{i}")).alias("s")) for i in range(len(_TAUS))]
+    best = F.array_min(F.array(*fit))
+    return g.select("vec_id", best["i"].alias("corner"), F.round(best["s"], 4).alias("scale"))
+
+
+@REG.add(
+    _FLAG + ", q as (select * from f where not hot and not flat) select a.rec_id, a.segment + 16 * a.block as start, round(a.ptp / a.m, 6) as first, round(b.ptp / b.m, 6) as second "
+    "from q a join q b on a.rec_id = b.rec_id and a.segment + 16 * a.block = b.segment + 16 * b.block where a.channel = 0 and b.channel = 1 and a.m > 0 and b.m > 0"
+)
+def common_windows(t: Tables) -> DataFrame:
+    """Windows that are clean in both channels, with both values (JN5)."""
+    q = _flags(t).filter("not hot and not flat and m > 0").select("rec_id", (F.col("segment") + SIZE * F.col("block")).alias("start"), "channel", F.round(F.col("ptp") / F.col("m"), 6).alias("v"))
+    a = q.filter("channel = 0").select("rec_id", "start", F.col("v").alias("first"))
+    return a.join(q.filter("channel = 1").select("rec_id", "start", F.col("v").alias("second")), ["rec_id", "start"])
+
+
 def _scaled(t: Tables) -> DataFrame:
     """Series in units of their own SD, so that results of all units compare."""
     return S.rescale(_clean(t), KEY, "x", 0.0, 1.0, "z").filter("z is not null").select(*KEY, "idx", F.col("z").alias("x"))
@@ -493,7 +524,7 @@ def smoothed_level(t: Tables) -> DataFrame:
 def residual_rows(t: Tables) -> DataFrame:
     """Regression rows: a channel's derivative with its own value and the other's delayed one (KER15)."""
     s = _clean(t)
-    a = B.fir(s.filter("channel = 0").select("rec_id", "idx", "x"), ["rec_id"], "idx", "x", {-1: 0.5, 1: -0.5}, "y").filter("y is not null")
+    a = B.fir(s.filter("channel = 0").select("rec_id", "idx", "x"), ["rec_id"], "idx", "x", {"y": {-1: 0.5, 1: -0.5}}).filter("y is not null")
     b = s.filter("channel = 1").select("rec_id", (F.col("idx") + 2).alias("idx"), F.col("x").alias("u_src"))
     return a.join(b, ["rec_id", "idx"]).select("rec_id", "idx", F.col("x").alias("u_tgt"), "u_src", "y")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import codes
+from wavemill.functions.quantiles import exact_median, exact_quantiles
 from wavemill.operators import regress
 from wavemill.operators import rules as R
 from wavemill.operators import stats as S
@@ -48,10 +49,12 @@ def _two_sessions(t: Tables) -> DataFrame:
 )
 def feature_medians(t: Tables) -> DataFrame:
     """Medians and sample SDs of the feature table (AGG19)."""
-    return _features(t).groupBy("channel").agg(
-        F.count("*").alias("n"), F.round(F.median("sd_uv"), 6).alias("med_sd"), F.round(F.median("alpha_peak_hz"), 6).alias("med_peak"),
-        F.round(F.stddev_samp("alpha_theta_ratio"), 6).alias("sd_ratio"),
-    )
+    f = _features(t)
+    sums = f.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.stddev_samp("alpha_theta_ratio"), 6).alias("sd_ratio"))
+    for x, name in (("sd_uv", "med_sd"), ("alpha_peak_hz", "med_peak")):
+        q = exact_quantiles(f, ["channel"], x, [0.5], "_q").select("channel", F.round(F.col("_q")[0], 6).alias(name))
+        sums = sums.join(q, "channel", "left")
+    return sums
 
 
 @REG.add(
@@ -59,9 +62,8 @@ def feature_medians(t: Tables) -> DataFrame:
 )
 def quartile_profile(t: Tables) -> DataFrame:
     """Quartiles by level (AGG4, AGG11, AGG15)."""
-    q = F.percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), q.alias("_q"))
-    return g.select("l_returnflag", "l_linestatus", "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
+    q = exact_quantiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity", [0.25, 0.5, 0.75], "_q")
+    return q.select("l_returnflag", "l_linestatus", "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
 
 
 @REG.add(
@@ -71,7 +73,7 @@ def quartile_profile(t: Tables) -> DataFrame:
 def median_with_inf(t: Tables) -> DataFrame:
     """Medians in which a failed case counts as infinite; −1 where the median is (AGG9)."""
     x = F.when(F.col("o_orderstatus") == "F", F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
-    m = t.orders.groupBy("o_orderpriority").agg(F.median(x).alias("m"))
+    m = exact_median(t.orders.select("o_orderpriority", x.alias("x")), ["o_orderpriority"], "x", "m")
     return m.withColumn("m", F.when(F.col("m") < float("inf"), F.col("m")).otherwise(-1.0))
 
 
@@ -89,18 +91,18 @@ def contraction_table(t: Tables) -> DataFrame:
         )
     )
     u = t.lineitem.select(F.col("l_returnflag").alias("level"), cells.alias("u")).select("level", "u.*")
-    return u.groupBy("level", "param").agg(F.round(F.median("c"), 6).alias("contraction"), (F.median("c") >= 0.5).alias("ok"))
+    m = exact_median(u, ["level", "param"], "c", "m")
+    return m.select("level", "param", F.round("m", 6).alias("contraction"), (F.col("m") >= 0.5).alias("ok"))
 
 
 @REG.add(
-    _SUP + ", p as (select l_suppkey, l_suppkey % 5 as family, (l_suppkey * 7919 % 997 + 1) / 1000.0 / 20 as p from s), "
+    "with p as (select l_suppkey, l_suppkey % 5 as family, (1 + count_if(l_quantity >= 49)) / (count(*) + 1.0) as p from lineitem group by all), "
     "k as (select *, row_number() over (partition by family order by p, l_suppkey) as r, count(*) over (partition by family) as m from p) "
     "select l_suppkey, family, round(least(1.0, max((m - r + 1) * p) over (partition by family order by r rows unbounded preceding)), 9) as p_holm from k"
 )
 def holm_adjust(t: Tables) -> DataFrame:
-    """Holm's step-down adjustment in families (WIN13, JN13)."""
-    s = t.lineitem.select("l_suppkey").distinct()
-    p = s.withColumn("family", F.col("l_suppkey") % 5).withColumn("p", (F.col("l_suppkey") * 7919 % 997 + 1) / 1000.0 / 20)
+    """Holm's step-down adjustment in families, of the share of a supplier's rows beyond a limit (WIN13, JN13, STA7)."""
+    p = t.lineitem.groupBy("l_suppkey").agg(((1 + F.count_if(F.col("l_quantity") >= 49)) / (F.count("*") + 1.0)).alias("p")).withColumn("family", F.col("l_suppkey") % 5)
     return S.holm(p, ["family"], "p", "l_suppkey").select("l_suppkey", "family", F.round("p_holm", 9).alias("p_holm"))
 
 
@@ -218,6 +220,8 @@ def flag_summary(t: Tables) -> DataFrame:
     return b.join(r, "rec_id").agg(F.count_if("bad").alias("recordings"), F.countDistinct(F.when(F.col("bad"), F.col("subject_no"))).alias("subjects"))
 
 
+#: Resamples of every bootstrap.
+_B = 10_000
 _MIX = "((b * 48271 + slot * 69621 + 12345) % 2147483647 * 16807 + b) % 2147483647"
 
 
@@ -237,12 +241,12 @@ def _bootstrap(t: Tables, columns: list[str], b: int) -> DataFrame:
 
 
 @REG.add(
-    _SUP + _drawn("s", "l_suppkey", 200) + ", g as (select b, avg(m1 - m2) as x from d group by all) "
+    _SUP + _drawn("s", "l_suppkey", _B) + ", g as (select b, avg(m1 - m2) as x from d group by all) "
     "select round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.975), 9) as high, round(least(1.0, (2 * least(count_if(x <= 0), count_if(x >= 0)) + 2) / (2.0 * count(*) + 2)), 9) as p, quantile_cont(x, 0.975) < 0 as verdict from g"
 )
 def paired_bootstrap(t: Tables) -> DataFrame:
     """Percentile interval and two-sided p of a paired difference (SMP6, SMP7, JN11, STA5)."""
-    d = _bootstrap(t, ["m1", "m2"], 200).groupBy("b").agg(F.avg(F.col("m1") - F.col("m2")).alias("d"))
+    d = _bootstrap(t, ["m1", "m2"], _B).groupBy("b").agg(F.avg(F.col("m1") - F.col("m2")).alias("d"))
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     two = 2 * F.least(F.count_if(F.col("d") <= 0), F.count_if(F.col("d") >= 0)) + 2
     g = d.agg(q.alias("q"), (two / (2.0 * F.count("*") + 2)).alias("p"))
@@ -251,23 +255,23 @@ def paired_bootstrap(t: Tables) -> DataFrame:
 
 
 @REG.add(
-    _SUP + _drawn("s", "l_suppkey", 200) + ", g as (select b, sum(q) / sum(d.n) as x from d group by all) "
+    _SUP + _drawn("s", "l_suppkey", _B) + ", g as (select b, sum(q) / sum(d.n) as x from d group by all) "
     "select round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.5), 9) as mid, round(quantile_cont(x, 0.975), 9) as high from g"
 )
 def cluster_bootstrap(t: Tables) -> DataFrame:
     """Interval of a ratio of cluster sums to cluster counts (SMP8)."""
-    d = _bootstrap(t, ["q", "n"], 200).groupBy("b").agg((F.sum("q") / F.sum("n")).alias("d"))
+    d = _bootstrap(t, ["q", "n"], _B).groupBy("b").agg((F.sum("q") / F.sum("n")).alias("d"))
     g = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return g.select(*[F.round(F.col("q")[i], 9).alias(c) for i, c in enumerate(("low", "mid", "high"))])
 
 
 @REG.add(
-    _SUP + _drawn("s", "l_suppkey", 200) + ", g as (select b, avg(m0) / avg(m1) as x from d group by all) "
+    _SUP + _drawn("s", "l_suppkey", _B) + ", g as (select b, avg(m0) / avg(m1) as x from d group by all) "
     "select round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.975), 9) as high, quantile_cont(x, 0.975) <= 1.2 as ok from g"
 )
 def ratio_bootstrap(t: Tables) -> DataFrame:
     """Interval of a ratio of means over the same resample (SMP9)."""
-    d = _bootstrap(t, ["m0", "m1"], 200).groupBy("b").agg((F.avg("m0") / F.avg("m1")).alias("d"))
+    d = _bootstrap(t, ["m0", "m1"], _B).groupBy("b").agg((F.avg("m0") / F.avg("m1")).alias("d"))
     g = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return g.select(F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), (F.col("q")[1] <= 1.2).alias("ok"))
 
@@ -276,7 +280,7 @@ def ratio_bootstrap(t: Tables) -> DataFrame:
 def icc_bootstrap(t: Tables) -> DataFrame:
     """Interval of the agreement of two sessions; undefined resamples are dropped and counted (SMP10, STA6)."""
     x = _two_sessions(t).filter("a is not null and b is not null").select("subject_no", F.col("a").alias("s1"), F.col("b").alias("s2"))
-    d = S.icc31(S.resamples(x, "subject_no", ["subject_no", "s1", "s2"], 100), ["b"], "subject_no", "s1", "s2")
+    d = S.icc31(S.resamples(x, "subject_no", ["subject_no", "s1", "s2"], _B), ["b"], "subject_no", "s1", "s2")
     g = d.agg(F.percentile("icc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count_if(F.col("icc").isNull()).alias("dropped"))
     return g.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "dropped", (F.col("q")[0] >= 0.4).alias("verdict"))
 
