@@ -157,29 +157,22 @@ def first_n(df: DataFrame, key: list[str], draw: list[str], n: int, eligible: Co
     return df.filter(eligible).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def lagged(df: DataFrame, key: list[str], order: str, x: str, lags: list[int]) -> DataFrame:
+def lagged(df: DataFrame, key: list[str], order: str, x: str, lags: list[int], width: int = 4096) -> DataFrame:
     """Adds ``x_k``, the value ``k`` index steps earlier, for each lag (negative: later, ``x_m1``). A gap in the
     index gives null, so that no lag crosses it. The index is unique within a key.
 
-    Every value is sent to the indices that need it and one aggregation by key and index gathers them: no task
-    sorts a series, however long.
+    A series is cut into spans of ``width`` indices, to which the rows just beyond their edges are copied: every row is
+    shuffled once, and no task sorts more than a span.
     """
-    rest = [c for c in df.columns if c not in {*key, order}]
-    row = F.struct(*rest)
-    nothing = F.lit(None).cast(df.select(row).schema[0].dataType)
-    steps = range(min([0, *lags]), max([0, *lags]) + 1)  # those between say whether there is a gap
-    sent = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.lit(k == 0), row).otherwise(nothing).alias("row")) for k in steps]))
-    moved = df.select(*key, order, F.col(x).alias("_x"), sent.alias("_s")).withColumn(order, F.col(order) + F.col("_s.k"))
-    at = [F.max(F.when(F.col("_s.k") == k, F.struct(F.col("_x").alias("v")))).alias(f"_at_{k}") for k in steps]
-    gathered = moved.groupBy(*key, order).agg(F.max("_s.row").alias("_row"), *at).filter("_row is not null")
-
-    def value(k: int) -> Column:
-        whole = F.lit(True)
-        for j in range(min(k, 0), max(k, 0) + 1):
-            whole = whole & F.col(f"_at_{j}").isNotNull()
-        return F.when(whole, F.col(f"_at_{k}.v")).alias(f"{x}_{k}".replace("-", "m"))
-
-    return gathered.select(*key, order, *[F.col(f"_row.{c}").alias(c) for c in rest], *[value(k) for k in lags])
+    far = [0, max(lags), min(lags)]
+    span = F.floor(F.col(order) / width)
+    near = F.array_distinct(F.array(*[F.floor((F.col(order) + k) / width) for k in far]))
+    w = Window.partitionBy(*key, "_span").orderBy(order)
+    wide = df.withColumn("_span", F.explode(near))
+    for k in lags:
+        value = F.when(F.lag(order, k).over(w) == F.col(order) - k, F.lag(x, k).over(w)) if k else F.col(x)
+        wide = wide.withColumn(f"{x}_{k}".replace("-", "m"), value)
+    return wide.filter(F.col("_span") == span).drop("_span")
 
 
 def fractional_lag(df: DataFrame, key: list[str], order: str, x: str, delay: float, name: str) -> DataFrame:

@@ -61,7 +61,13 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
     return flags.filter("not series and spike").select("rec_id", "channel", "idx", "value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_review, p2_samples, p3_found, p3_listings, p5_found, p5_flags, p5_spikes)}
+def p5_unitless(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of ``p5_found`` that need no unit: spikes far off, and stuck values."""
+    flags = spikes.series_flags(table(spark, d, "samples"), _recording_units(spark, d))
+    return flags.filter("not series and (spike and far or stuck)").select("rec_id", "channel", "idx").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_checks, p2_review, p2_samples, p3_found, p3_listings, p5_found, p5_flags, p5_spikes, p5_unitless)}
 
 SQL = {
     "p3_found": r"""
@@ -88,5 +94,13 @@ union all select rel_path, 'n_bytes' from pairs where d2 and not no_a and not no
 union all select rel_path, 'modified_at' from pairs where d3 and not no_a and not no_b
 union all select rel_path, 'n_channels' from pairs where d4 and not no_a and not no_b
 union all select rel_path, 'duration_s' from pairs where d5 and not no_a and not no_b
+""",
+    "p5_unitless": """
+with s as (select distinct rec_id, channel, idx, data_uv as x from samples where data_uv is not null and not isnan(data_uv)),
+m as (select rec_id, channel, median(x) as m from s group by all),
+d as (select rec_id, channel, 1.4826 * median(abs(x - m)) as r from s join m using (rec_id, channel) group by all),
+n as (select *, row_number() over (partition by rec_id, channel order by idx) - row_number() over (partition by rec_id, channel, x order by idx) as run from s),
+c as (select rec_id, channel, idx, x, count(*) over (partition by rec_id, channel, x, run) as len from n)
+select rec_id, channel, idx from c join m using (rec_id, channel) join d using (rec_id, channel) where len >= 10 or (r > 0 and abs(x - m) >= 10 * r)
 """,
 }

@@ -498,21 +498,47 @@ def tv_derivative(t: Tables) -> DataFrame:
     return FI.derivative(_rated(t), KEY, 1e-4).select(*KEY, "segment", "window", "step", F.round("slope", 2).alias("slope"))
 
 
-@REG.add()
+_Q, _R = [0.001, 0.01, 0.1, 1.0], 0.25
+
+
+def _levels(grid: list[float]) -> str:
+    """CTEs: ``z`` (scaled samples with their place and step) and ``f`` (the level filter for each q, by recursion)."""
+    return (
+        _S.replace("with s", "with recursive s") + ", e as (select rec_id, channel, avg(x) as m, stddev_samp(x) as sd from s group by all having stddev_samp(x) > 0), "
+        "z as (select s.rec_id, s.channel, idx, (x - m) / sd as z, row_number() over w as n, idx - lag(idx) over w as step from s join e using (rec_id, channel) window w as (partition by s.rec_id, s.channel order by idx)), "
+        f"g as (select unnest({grid}::double[]) as q), "
+        f"f as (select rec_id, channel, q, n, z as a, (1 - ({_R} + q) / (2 * {_R} + q)) * ({_R} + q) as p, 0::double as nis from z, g where n = 1 union all "
+        f"select z.rec_id, z.channel, f.q, z.n, a + (p + step * q) / (p + step * q + {_R}) * (z - a), (1 - (p + step * q) / (p + step * q + {_R})) * (p + step * q), "
+        f"(z - a) * (z - a) / (p + step * q + {_R}) from f join z on z.rec_id = f.rec_id and z.channel = f.channel and z.n = f.n + 1)"
+    )
+
+
+_NIS = _levels(_Q) + ", k as (select rec_id, channel, q, avg(case when n > 4 then nis end) as nis from f group by all having count(*) >= 32)"
+
+
+@REG.add(_NIS + " select rec_id, channel, q, round(nis, 6) as nis from k")
 def nis_by_q(t: Tables) -> DataFrame:
     """Mean normalised innovation of each series for each q of a grid (KER7 re-aimed, AGG8, JN10)."""
-    return ST.nis_by_q(_scaled(t), KEY, [0.001, 0.01, 0.1, 1.0], 0.25).select(*KEY, "q", F.round("nis", 6).alias("nis"))
+    return ST.nis_by_q(_scaled(t), KEY, _Q, _R).select(*KEY, "q", F.round("nis", 6).alias("nis"))
 
 
-@REG.add()
+@REG.add(
+    _NIS + ", m as (select q, avg(nis) as nis, count(*) as n from k group by all) "
+    "select case when n >= 15 then q end as q, round(nis, 6) as nis, n from m order by abs(nis - 1), q limit 1"
+)
 def chosen_q(t: Tables) -> DataFrame:
     """The q whose innovations are nearest their expectation (TOP2)."""
-    return ST.choose_q(ST.nis_by_q(_scaled(t), KEY, [0.001, 0.01, 0.1, 1.0], 0.25), 1.0, 15).withColumn("nis", F.round("nis", 6))
+    return ST.choose_q(ST.nis_by_q(_scaled(t), KEY, _Q, _R), 1.0, 15).withColumn("nis", F.round("nis", 6))
 
 
-@REG.add()
+@REG.add(
+    _levels([0.1]) + ", c as (select f.*, idx, max(f.n) over (partition by f.rec_id, f.channel) as last, lead(step) over (partition by f.rec_id, f.channel order by f.n) as ahead from f join z using (rec_id, channel, n)), "
+    "b as (select rec_id, channel, n, idx, a as level from c where n = last union all "
+    "select c.rec_id, c.channel, c.n, c.idx, c.a + c.p / (c.p + ahead * 0.1) * (b.level - c.a) from b join c on c.rec_id = b.rec_id and c.channel = b.channel and c.n = b.n - 1) "
+    "select rec_id, channel, idx // 32 as block, (idx % 32)::int as step, round(level, 6) as level from b"
+)
 def smoothed_level(t: Tables) -> DataFrame:
-    """Smoothed levels of complete blocks (KER8 re-aimed)."""
+    """Smoothed levels of whole series, gaps predicted (KER8 re-aimed)."""
     return ST.smoothed(_scaled(t), KEY, 0.1, 0.25).select(*KEY, "block", "step", F.round("level", 6).alias("level"))
 
 
