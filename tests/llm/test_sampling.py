@@ -32,3 +32,12 @@ def test_waves_and_writings(spark):
 def test_whole_domain_ends(spark):
     df = spark.createDataFrame([(-1,), (0,), (S.DOMAIN - 1,), (S.DOMAIN,), (None,)], "n long")
     assert [r[0] for r in df.select(S.in_sample(F.col("n"), 1.0, 1)).collect()] == [None, True, True, None, None]
+
+
+def test_fixed_values(spark):
+    """The permutation never changes: values computed by hand with whole numbers of any size."""
+    n = [0, 1, 77, 10**18 - 1]
+    df = spark.createDataFrame([(x,) for x in n], "n long")
+    assert [r[0] for r in df.select(S.feistel(F.col("n"), 42)).collect()] == [372497722015628311, 12140069506850510, 1109961605081765370, 207332589441037180]
+    plans = spark.range(60).select(F.concat(F.lit("sub-"), "id").alias("subject"), F.lit(1).alias("wave"))
+    assert sorted(r.subject_no for r in S.sample_subjects(plans).collect()) == [1, 4, 7, 14, 17, 18, 19, 20, 34, 36, 38, 49, 59]

@@ -22,8 +22,8 @@ def p1_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each related group with its plan rows by given partition and the number of pairs that differ."""
-    return splits.split_groups(_plans(spark, d))
+    """Each related group, named by its first plan row, with its rows by given partition and the pairs that differ."""
+    return splits.split_groups(_plans(spark, d)).drop("component")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +77,7 @@ _SAME = (
     r"(?:same person as|identisch mit|duplicate enrolment of|formerly enrolled as|earlier code)\s+(\D{0,4}\d+)"
 )
 
-SQL = {
-    "p1_found": rf"""
+_GROUPS = rf"""
 with recursive r as (
   select 's' || {_NUMBER.format("subject")} as s, {_NUMBER.format("family_id")} as f, lower(trim(sha256)) as h, n_bytes,
          regexp_replace(lower(remark), 'not the same person as', '') as m
@@ -101,8 +100,15 @@ with recursive r as (
               when lower(trim(plan_partition)) = 'test' then 'test' end as part
   from subject_plans left join comp on v = 's' || {_NUMBER.format("subject")}
 )
-select x.plan_id as plan_lo, y.plan_id as plan_hi from p x join p y on x.c = y.c and x.part <> y.part and x.plan_id < y.plan_id
-""",
+"""
+
+SQL = {
+    "p1_found": _GROUPS + "select x.plan_id as plan_lo, y.plan_id as plan_hi from p x join p y on x.c = y.c and x.part <> y.part and x.plan_id < y.plan_id",
+    "p1_groups": _GROUPS + """, g as (
+  select min(plan_id) as first_plan, count(*) as n, count_if(part = 'train')::bigint as train, count_if(part = 'validation')::bigint as validation,
+         count_if(part = 'test')::bigint as test from p group by coalesce(c, 'p' || plan_id)
+)
+select *, train * validation + train * test + validation * test as pairs from g""",
     "p4_sample": _sample_sql("n as subject_no, min(wave) as first_wave, count(*) as n_plans", "group by n"),
     "p4_plans": _sample_sql("plan_id, subject, wave"),
 }

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import codes
 
-#: Two halves of so many bits: the domain is 0 .. 2^(2·HALF_BITS) − 1.
-HALF_BITS = 16
+#: Two halves of so many bits: the domain is 0 .. 2^(2·HALF_BITS) − 1, wide enough for every code of 18 digits.
+HALF_BITS = 30
+#: Fixed value: the multiplier of the second mixing step, to which each round adds.
+MIXER = 668265261
 DOMAIN = 1 << (2 * HALF_BITS)
 #: Rounds of the network, each with a key drawn from the seed.
 ROUNDS = 6
@@ -24,22 +26,22 @@ def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
     keys, state = [], (seed * 2862933555777941757 + 3037000493) % (1 << 64)
     for _ in range(rounds):
         state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        keys.append(((state >> 40) % (1 << HALF_BITS) | 1, (state >> 16) % (1 << HALF_BITS)))
+        keys.append(((state >> 34) % (1 << HALF_BITS) | 1, (state >> 4) % (1 << HALF_BITS)))
     return keys
 
 
 def feistel(n: Column, seed: int) -> Column:
     """The permuted value of ``n`` in the domain, by built-in integer functions alone (a fold over the round keys)."""
     mask, half = (1 << HALF_BITS) - 1, 1 << HALF_BITS
-    keys = F.array(*[F.array(F.lit(mul), F.lit(add), F.lit(2 * k + 40503)) for k, (mul, add) in enumerate(round_keys(seed))])
+    keys = F.array(*[F.array(F.lit(mul).cast("long"), F.lit(add).cast("long"), F.lit(2 * k + MIXER)) for k, (mul, add) in enumerate(round_keys(seed))])
 
     def step(pair: Column, key: Column) -> Column:
         mixed = (pair["r"] * key[0] + key[1]).bitwiseAND(F.lit(mask))
-        mixed = mixed.bitwiseXOR(F.shiftright(mixed, 7)) * key[2]
-        mixed = F.shiftright(mixed, 5).bitwiseAND(F.lit(mask))
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, 13)) * key[2]
+        mixed = F.shiftright(mixed, 15).bitwiseAND(F.lit(mask))
         return F.struct(pair["r"].alias("l"), pair["l"].bitwiseXOR(mixed).alias("r"))
 
-    start = F.struct(F.floor(n / half).cast("long").alias("l"), n.bitwiseAND(F.lit(mask)).cast("long").alias("r"))
+    start = F.struct(F.shiftright(n, HALF_BITS).cast("long").alias("l"), n.bitwiseAND(F.lit(mask)).cast("long").alias("r"))
     return F.aggregate(keys, start, step, lambda p: p["l"] * half + p["r"])
 
 
@@ -49,8 +51,8 @@ def feistel_sql(n: str, seed: int) -> list[tuple[str, str]]:
     steps = [(f"{n} // {half}", f"{n} & {mask}")]
     for k, (mul, add) in enumerate(round_keys(seed)):
         mixed = f"((r * {mul} + {add}) & {mask})"
-        mixed = f"(xor({mixed}, {mixed} >> 7) * {2 * k + 40503})"
-        steps.append(("r", f"xor(l, ({mixed} >> 5) & {mask})"))
+        mixed = f"(xor({mixed}, {mixed} >> 13) * {2 * k + MIXER})"
+        steps.append(("r", f"xor(l, ({mixed} >> 15) & {mask})"))
     return steps
 
 
@@ -64,7 +66,7 @@ def sample_subjects(plans: DataFrame, rate: float = 0.2, seed: int = 42) -> Data
     """The subjects of the plans that are in the sample: ``subject_no``, ``first_wave``, ``n_plans``.
 
     A subject is its code's number, whatever the writing. A subject chosen at one wave stays chosen when later
-    waves are added. Codes that cannot be read, null and those outside the domain are never chosen; repeated
+    waves are added. Codes that cannot be read (null, or of more than 18 digits) are never chosen; repeated
     rows and an empty table are no special case; other columns are ignored.
     """
     n = codes.subject_number(F.col("subject"))

@@ -192,10 +192,11 @@ def split_conflicts(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def split_groups(rows: DataFrame) -> DataFrame:
-    """The same by class: one row for each component with its plan rows (``n``), those given to each partition, and the
-    pairs of rows whose partitions differ. With ``component`` of every row (``grouped_plans``) the pairs follow."""
+    """The same by class: one row for each component with its least ``plan_id`` (``first_plan``), its plan rows (``n``),
+    those given to each partition, and the ``pairs`` of rows whose partitions differ. With ``component`` of every row
+    (``grouped_plans``) the pairs follow."""
     part = codes.partition_name(F.col("plan_partition"))
     count = lambda name: F.count_if(F.coalesce(part == name, F.lit(False))).alias(name)
-    g = rows.groupBy("component").agg(F.count("*").alias("n"), count("train"), count("validation"), count("test"))
+    g = rows.groupBy("component").agg(F.min("plan_id").alias("first_plan"), F.count("*").alias("n"), count("train"), count("validation"), count("test"))
     pairs = F.col("train") * F.col("validation") + F.col("train") * F.col("test") + F.col("validation") * F.col("test")
     return g.withColumn("pairs", pairs)

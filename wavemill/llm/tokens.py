@@ -10,8 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -72,10 +71,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary."""
+    """Encodes and decodes with one vocabulary, given by its folder and name or by its ranks."""
 
-    def __init__(self, folder: str = FOLDER, name: str = VOCABULARY):
-        self.ranks = read_ranks(folder, name)
+    def __init__(self, folder: str = FOLDER, name: str = VOCABULARY, ranks: dict[bytes, int] | None = None):
+        self.ranks = read_ranks(folder, name) if ranks is None else ranks
         self.strings = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(PATTERN).findall
         self.kept: dict[str, list[int]] = {}
@@ -100,10 +99,23 @@ class Encoder:
         return b"".join(self.strings[i] for i in ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def encoder(folder: str, name: str) -> Encoder:
-    """The worker's encoder; Spark keeps Python workers, so files are read once each."""
-    return Encoder(folder, name)
+_ENCODERS: dict[tuple[str, str, str], Encoder] = {}
+
+
+def _sent(documents: DataFrame, folder: str, name: str) -> Callable[[], Encoder]:
+    """What gives a task its worker's encoder. The driver reads the vocabulary, a file of fixed size, and sends it with
+    the job; Spark keeps Python workers, which keep the encoder with the pieces it has seen."""
+    sc = documents.sparkSession.sparkContext
+    ranks = sc.broadcast(read_ranks(folder, name))
+    key = (sc.applicationId, folder, name)
+
+    def encoder() -> Encoder:
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(ranks=ranks.value)
+        return _ENCODERS[key]
+
+    return encoder
 
 
 def encode(documents: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
@@ -113,9 +125,10 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -
     encoded whole. Repeated rows come out as often as they occur; other columns are ignored.
     """
     kind = pa.list_(pa.int32())
+    encoder = _sent(documents, folder, name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = encoder()
         for b in batches:
             ids = [e.encode(t) if t else [] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, kind)], ["doc_id", "ids"])
@@ -125,9 +138,10 @@ def encode(documents: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -
 
 def decode(encoded: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``text`` of rows with ``ids``; null ids give a null text."""
+    encoder = _sent(encoded, folder, name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(folder, name)
+        e = encoder()
         for b in batches:
             texts = [None if ids is None else e.decode(ids) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
