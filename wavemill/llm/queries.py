@@ -105,8 +105,8 @@ with recursive r as (
 SQL = {
     "p1_found": _GROUPS + "select x.plan_id as plan_lo, y.plan_id as plan_hi from p x join p y on x.c = y.c and x.part <> y.part and x.plan_id < y.plan_id",
     "p1_groups": _GROUPS + """, g as (
-  select min(plan_id) as first_plan, count(*) as n, count_if(part = 'train')::bigint as train, count_if(part = 'validation')::bigint as validation,
-         count_if(part = 'test')::bigint as test from p group by coalesce(c, 'p' || plan_id)
+  select min(plan_id) as first_plan, count(*) as n, count(*) filter (part = 'train') as train, count(*) filter (part = 'validation') as validation,
+         count(*) filter (part = 'test') as test from p group by coalesce(c, 'p' || plan_id)
 )
 select *, train * validation + train * test + validation * test as pairs from g""",
     "p4_sample": _sample_sql("n as subject_no, min(wave) as first_wave, count(*) as n_plans", "group by n"),
