@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.functions import codes, distributions
-from wavemill.functions.ranking import ordered_rank, salted_rank
+from wavemill.functions.ranking import average_ranks, ordered_rank, salted_rank
 from wavemill.operators import blocks as B
 from wavemill.operators import filters as FI
 from wavemill.operators import regress, stats
@@ -85,6 +85,23 @@ def test_holm(spark):
     assert [round(r.p_holm, 9) for r in stats.holm(df, ["g"], "p", "t").orderBy("t").collect()] == [0.03, 0.06, 0.06]
 
 
+def test_ranks_and_holm_of_many_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, None if v == 7 else float(v)) for g in ("a", None) for i, v in enumerate(rng.integers(0, 60, 500))]
+    df = spark.createDataFrame(rows, "g string, i int, x double").repartition(3)
+    got = {(r.g, r.i): r.rank for r in average_ranks(df, ["g"], "x", "rank", buckets=8).collect()}
+    holm = {(r.g, r.i): r.p_holm for r in stats.holm(df.withColumn("p", F.col("x") / 3000), ["g"], "p", "i").collect()}
+    for g in ("a", None):
+        x = {i: v for h, i, v in rows if h == g and v is not None}
+        for i, v in x.items():
+            assert got[g, i] == sum(u < v for u in x.values()) + (sum(u == v for u in x.values()) + 1) / 2
+        most = 0.0
+        for k, (v, i) in enumerate(sorted((v, i) for i, v in x.items())):
+            most = max(most, (len(x) - k) * v / 3000)
+            assert abs(holm[g, i] - min(1.0, most)) < 1e-12
+        assert all(got[g, i] is None for h, i, v in rows if h == g and v is None)
+
+
 def test_icc_of_equal_sessions(spark):
     df = spark.createDataFrame([(i, float(i), float(i) + 3, 1) for i in range(5)] + [(9, 1.0, None, 1)], "s int, a double, b double, g int")
     r = stats.icc31(df, ["g"], "s", "a", "b").first()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.distributions import beta_quantile, f_quantile
 from wavemill.functions.lineage import cut
-from wavemill.functions.ranking import ordered_rank
+from wavemill.functions.quantiles import same_key
+from wavemill.functions.ranking import ordered_rank, value_buckets
 
 MAD_SCALE = 1.4826
 
@@ -35,20 +36,25 @@ def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"z_{c}": e for c, e in z.items()})
 
 
-def average_rank(df: DataFrame, key: list[str], x: str, name: str) -> DataFrame:
-    """Ranks from 1 in each group, ties at their mean rank."""
-    up, down = Window.partitionBy(*key).orderBy(F.col(x).asc()), Window.partitionBy(*key).orderBy(F.col(x).desc())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    return df.withColumn(name, (F.rank().over(up) + n + 1 - F.rank().over(down)) / 2.0)
-
-
 def holm(df: DataFrame, key: list[str], p: str, tie: str) -> DataFrame:
-    """Holm's step-down adjusted p-values of each family: ``p_holm``."""
-    order = Window.partitionBy(*key).orderBy(p, tie)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    step = (m - F.row_number().over(order) + 1) * F.col(p)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_step", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_step").over(upto))).drop("_step")
+    """Holm's step-down adjusted p-values of each family, of any size: ``p_holm``. Rows without a p-value are left out.
+
+    A task sorts one range of p-values of a family; ranks and the greatest step so far are carried from range to range.
+    """
+    rows = value_buckets(df, key, p)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(p, tie)
+    v = Window.partitionBy(*key).orderBy("_bucket")
+    earlier = v.rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key, "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_m": F.sum("_n").over(Window.partitionBy(*key))})
+    at = counts.select(*[F.col(c).alias(f"_o_{c}") for c in [*key, "_bucket"]], "_before", "_m")
+    step = (F.col("_m") - F.col("_before") - F.row_number().over(inside) + 1) * F.col(p)
+    stepped = rows.join(at, same_key([*key, "_bucket"], "_o_")).withColumn("_step", step)
+    most = stepped.groupBy(*key, "_bucket").agg(F.max("_step").alias("_most"))
+    most = most.select(*[F.col(c).alias(f"_q_{c}") for c in [*key, "_bucket"]], F.max("_most").over(earlier).alias("_earlier"))
+    upto = F.greatest(F.max("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier"))
+    out = stepped.join(most, same_key([*key, "_bucket"], "_q_")).withColumn("p_holm", F.least(F.lit(1.0), upto))
+    return out.select(*df.columns, "p_holm")
 
 
 def icc31(df: DataFrame, key: list[str], subject: str, a: str, b: str) -> DataFrame:

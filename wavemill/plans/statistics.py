@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import codes
 from wavemill.functions.quantiles import exact_median, exact_quantiles
+from wavemill.functions.ranking import average_ranks
 from wavemill.operators import regress
 from wavemill.operators import rules as R
 from wavemill.operators import stats as S
@@ -142,7 +143,7 @@ def ols_residuals(t: Tables) -> DataFrame:
 def spearman_sensitivity(t: Tables) -> DataFrame:
     """Rank correlation with average ranks (STA8, WIN14)."""
     f = _features(t).filter("aperiodic_exponent is not null")
-    k = S.average_rank(S.average_rank(f, ["channel"], "sd_uv", "ra"), ["channel"], "aperiodic_exponent", "rb")
+    k = average_ranks(average_ranks(f, ["channel"], "sd_uv", "ra"), ["channel"], "aperiodic_exponent", "rb")
     return k.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
