@@ -25,21 +25,18 @@ def segmented(df: DataFrame, key: list[str], idx: str = "idx", width: int = 4096
     Rows are looked at in spans of ``width`` indices, of which each hands on its last start: no task sorts a series,
     however long. An index that occurs twice is no gap.
     """
-    parts = df.withColumn("_span", F.floor(F.col(idx) / width))
-    w = Window.partitionBy(*key, "_span").orderBy(idx)
+    # one column holds series and span, so that windows, counts and the join share one shuffle, null keys among them
+    parts = df.withColumn("_at", F.struct(*key, F.floor(F.col(idx) / width).alias("_span"))).repartition("_at")
+    w = Window.partitionBy("_at").orderBy(idx)
     gap = F.when(F.col(idx) - F.lag(idx).over(w) > 1, F.col(idx))
     marked = parts.withColumn("_gap", gap).withColumn("_last", F.max("_gap").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    spans = marked.groupBy(*key, "_span").agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"), F.max("_gap").alias("_g"))
-    v = Window.partitionBy(*key).orderBy("_span")
+    spans = marked.groupBy("_at").agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"), F.max("_gap").alias("_g"))
+    v = Window.partitionBy(*[F.col(f"_at.{k}") for k in key]).orderBy("_at._span")
     first = F.when(F.coalesce(F.col("_lo") - F.lag("_hi").over(v) > 1, F.lit(True)), F.col("_lo"))
-    spans = spans.withColumn("_first", first).withColumn(
-        "_begin", F.greatest(F.max("_first").over(v.rowsBetween(Window.unboundedPreceding, 0)), F.max("_g").over(v.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("_first", first).select(
+        "_at", F.greatest(F.max("_first").over(v.rowsBetween(Window.unboundedPreceding, 0)), F.max("_g").over(v.rowsBetween(Window.unboundedPreceding, -1))).alias("_begin")
     )
-    at = spans.select(*[F.col(k).alias(f"_k_{k}") for k in [*key, "_span"]], "_begin")
-    on = F.lit(True)
-    for k in [*key, "_span"]:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return marked.join(at, on).withColumn(name, F.coalesce("_last", "_begin")).select(*df.columns, name)
+    return marked.join(spans, "_at").withColumn(name, F.coalesce("_last", "_begin")).select(*df.columns, name)
 
 
 def tumbling(df: DataFrame, key: list[str], size: int, idx: str = "idx", x: str = "x") -> DataFrame:

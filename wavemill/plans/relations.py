@@ -106,6 +106,17 @@ def split_validation(t: Tables) -> DataFrame:
     )
 
 
+@REG.add(
+    f"with p as (select distinct {_NUM} as n, case when lower(trim(plan_partition)) in ('train', 'training') then 'train' when lower(trim(plan_partition)) in ('validation', 'valid', 'val') then 'validation' when lower(trim(plan_partition)) = 'test' then 'test' end as part from subject_plans) "
+    "select part, count(*) as subjects, sum(n * 48271 % 1000003)::bigint as checksum from p where part is not null and n is not null group by all"
+)
+def split_sizes(t: Tables) -> DataFrame:
+    """Subjects of each partition and a checksum of them in any order, to hold against a stored split (FLT11)."""
+    p = t.subject_plans.select(codes.subject_number(F.col("subject")).alias("n"), codes.partition_name(F.col("plan_partition")).alias("part"))
+    p = p.filter("part is not null and n is not null").distinct()
+    return p.groupBy("part").agg(F.count("*").alias("subjects"), F.sum(F.col("n") * 48271 % 1000003).alias("checksum"))
+
+
 @REG.add(
     "with f as (select distinct name, rec_id, channel, sd_uv, alpha_peak_hz, alpha_theta_ratio, aperiodic_exponent from features) "
     "select rec_id, channel, sd_uv, alpha_peak_hz from f where sd_uv is not null and alpha_peak_hz is not null and alpha_theta_ratio is not null and aperiodic_exponent is not null and sd_uv > 0"

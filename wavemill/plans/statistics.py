@@ -67,6 +67,30 @@ def quartile_profile(t: Tables) -> DataFrame:
     return q.select("l_returnflag", "l_linestatus", "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
 
 
+@REG.add(
+    "with m as (select avg(l_quantity) as m, stddev_pop(l_quantity) as s from lineitem) "
+    "select l_returnflag as level, count(*) as n, round(median(abs(l_quantity - m) / s), 6) as middle, round(max(abs(l_quantity - m) / s), 6) as most from lineitem, m group by all"
+)
+def level_summary(t: Tables) -> DataFrame:
+    """Rows of each level, and the median and greatest distance of a value from the table's mean in its SDs (AGG15)."""
+    z = S.zscores(t.lineitem.select("l_returnflag", "l_quantity"), ["l_quantity"]).select(F.col("l_returnflag").alias("level"), F.abs("z_l_quantity").alias("z"))
+    m = exact_median(z, ["level"], "z", "m").select("level", F.round("m", 6).alias("middle"))
+    return z.groupBy("level").agg(F.count("*").alias("n"), F.round(F.max("z"), 6).alias("most")).join(m, "level", "left")
+
+
+@REG.add(
+    _FEAT + ", r as (select channel, median(sd_uv) as ref from f group by all) "
+    "select channel, round(any_value(ref), 6) as reference, round(median(abs(sd_uv - ref) / abs(ref)), 6) as change from f join r using (channel) group by all"
+)
+def relative_change(t: Tables) -> DataFrame:
+    """Median relative distance of a channel's SDs from their median (STA8)."""
+    f = _features(t)
+    ref = exact_median(f, ["channel"], "sd_uv", "ref")
+    away = f.join(ref, "channel").withColumn("d", F.abs(F.col("sd_uv") - F.col("ref")) / F.abs("ref"))
+    change = exact_median(away, ["channel"], "d", "c")
+    return ref.join(change, "channel").select("channel", F.round("ref", 6).alias("reference"), F.round("c", 6).alias("change"))
+
+
 @REG.add(
     "select o_orderpriority, median(case when o_orderstatus = 'F' then 'inf'::double else o_totalprice end) as m from orders group by all having median(case when o_orderstatus = 'F' then 'inf'::double else o_totalprice end) < 'inf'::double "
     "union all select o_orderpriority, -1 from orders group by all having not median(case when o_orderstatus = 'F' then 'inf'::double else o_totalprice end) < 'inf'::double"
