@@ -12,21 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def sent_samples(samples: DataFrame) -> DataFrame:
+    """Samples with a value, as often as they were sent: ``rec_id``, ``channel``, ``idx``, ``x``."""
+    return samples.select("rec_id", "channel", "idx", F.col("data_uv").alias("x")).filter("x is not null and not isnan(x)")
+
+
 def clean_samples(samples: DataFrame) -> DataFrame:
     """Distinct samples with a value: ``rec_id``, ``channel``, ``idx``, ``x``."""
-    return (
-        samples.select("rec_id", "channel", "idx", F.col("data_uv").alias("x")).filter("x is not null and not isnan(x)").distinct()
-    )
+    return sent_samples(samples).distinct()
 
 
-def segmented(df: DataFrame, key: list[str], idx: str = "idx", width: int = 4096, name: str = "segment") -> DataFrame:
+def segmented(df: DataFrame, key: list[str], idx: str = "idx", width: int = 4096, name: str = "segment", repeated: bool = False) -> DataFrame:
     """Adds the index at which each row's stretch without a gap begins.
 
     Rows are looked at in spans of ``width`` indices, of which each hands on its last start: no task sorts a series,
-    however long. An index that occurs twice is no gap.
+    however long. An index that occurs twice is no gap. Where rows are ``repeated``, equal ones count once, without a
+    shuffle of their own.
     """
     # one column holds series and span, so that windows, counts and the join share one shuffle, null keys among them
     parts = df.withColumn("_at", F.struct(*key, F.floor(F.col(idx) / width).alias("_span"))).repartition("_at")
+    parts = parts.distinct() if repeated else parts
     w = Window.partitionBy("_at").orderBy(idx)
     gap = F.when(F.col(idx) - F.lag(idx).over(w) > 1, F.col(idx))
     marked = parts.withColumn("_gap", gap).withColumn("_last", F.max("_gap").over(w.rangeBetween(Window.unboundedPreceding, 0)))
@@ -39,12 +44,12 @@ def segmented(df: DataFrame, key: list[str], idx: str = "idx", width: int = 4096
     return marked.join(spans, "_at").withColumn(name, F.coalesce("_last", "_begin")).select(*df.columns, name)
 
 
-def tumbling(df: DataFrame, key: list[str], size: int, idx: str = "idx", x: str = "x") -> DataFrame:
+def tumbling(df: DataFrame, key: list[str], size: int, idx: str = "idx", x: str = "x", repeated: bool = False) -> DataFrame:
     """Complete blocks of ``size`` samples, counted from the start of each stretch without a gap: ``segment`` (its first
     index), ``block``, ``rms``, ``ptp``, ``mean``, ``n``. Partial ones are dropped."""
     block = F.floor((F.col(idx) - F.col("segment")) / size)
     return (
-        segmented(df, key, idx)
+        segmented(df, key, idx, repeated=repeated)
         .groupBy(*key, "segment", block.alias("block"))
         .agg(
             F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"),

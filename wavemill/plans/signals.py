@@ -46,7 +46,7 @@ def _clean(t: Tables) -> DataFrame:
 
 
 def _blocks(t: Tables) -> DataFrame:
-    return B.tumbling(_clean(t), KEY, SIZE)
+    return B.tumbling(B.sent_samples(t.samples), KEY, SIZE, repeated=True)
 
 
 def _flags(t: Tables) -> DataFrame:
@@ -403,7 +403,7 @@ _W = 32
 )
 def welch_shares(t: Tables) -> DataFrame:
     """Mean spectrum over a series' blocks that overlap by half, as shares of its total (WIN15, DSP10)."""
-    b = P.blocks_of(B.segmented(_clean(t), KEY), SEG, F.col("idx") - F.col("segment"), "x", _W, _W // 2)
+    b = P.blocks_of(B.segmented(B.sent_samples(t.samples), KEY, repeated=True), SEG, F.col("idx") - F.col("segment"), "x", _W, _W // 2)
     p = P.power(P.transform(b, [*SEG, "block"], _W, list(range(1, 17)), periodic=True))
     w = p.groupBy(*KEY, "k").agg(F.avg("power").alias("p"))
     total = w.groupBy(*KEY).agg(F.sum("p").alias("total"))
