@@ -265,11 +265,13 @@ def bipolar(t: Tables) -> DataFrame:
     "select rec_id, channel, count(*) as n, round(avg(x) / max(abs(x)), 6) as mean from s join e using (rec_id, channel) where idx between lo + 8 and hi - 8 group by all"
 )
 def edge_trim(t: Tables) -> DataFrame:
-    """Series without eight samples at either end (PRJ2)."""
+    """Series without eight samples at either end (PRJ2); NaN, as 0/0 in SQL, where all that is left is 0."""
     s = _clean(t)
     e = s.groupBy(*KEY).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
     inside = s.join(e, KEY).filter(F.col("idx").between(F.col("lo") + 8, F.col("hi") - 8))
-    return inside.groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.avg("x") / F.max(F.abs("x")), 6).alias("mean"))
+    sums = inside.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.max(F.abs("x")).alias("most"))
+    share = F.when(F.col("most") == 0, F.lit(float("nan"))).otherwise(F.col("mean") / F.col("most"))
+    return sums.select(*KEY, "n", F.round(share, 6).alias("mean"))
 
 
 @REG.add(
