@@ -28,3 +28,19 @@ def test_edge_trim_of_zero_series(spark, tmp_path):
     at = folder(tmp_path, samples=f"select i // 2 as rec_id, (i % 2)::int as channel, k as idx, {x} as data_uv from range(8) a(i), range(40) b(k)")
     got = both(spark, "edge_trim", at)
     assert len(got) == 8 and sum(map(math.isnan, got["mean"])) == 6
+
+
+def lineitem(rows):
+    """Rows (l_suppkey, l_quantity, l_discount, l_tax)."""
+    return f"select * from (values {', '.join(rows)}) v(l_suppkey, l_quantity, l_discount, l_tax)"
+
+
+SUPPLIERS = [f"({k % 40 if k % 40 else 'null'}::bigint, {k * 7 % 50}::double, {k * 3 % 11 / 100 if k % 13 else 'null'}::double, {k * 5 % 9 / 100}::double)" for k in range(120)]
+
+
+def test_bootstrap_sends_nothing_to_the_driver(spark, tmp_path):
+    """No join of draws, whose broadcast the driver could not hold; a null supplier is a row like any other."""
+    at = folder(tmp_path, lineitem=lineitem(SUPPLIERS))
+    plan = catalog.QUERIES["paired_bootstrap"](spark, at)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    both(spark, "paired_bootstrap", at)

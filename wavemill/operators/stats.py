@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavemill.functions.distributions import beta_quantile, f_quantile
-from wavemill.functions.lineage import cut
 from wavemill.functions.quantiles import same_key
-from wavemill.functions.ranking import ordered_rank, value_buckets
+from wavemill.functions.ranking import value_buckets
 
 MAD_SCALE = 1.4826
 
@@ -93,28 +98,85 @@ def icc_interval(df: DataFrame, n: str, icc: str, level: float = 0.95) -> DataFr
     return df.withColumn("_l", limits(F.col(n), F.col(icc))).select(*df.columns, "_l.low", "_l.high")
 
 
-def drawn(b: Column, slot: Column, n: Column) -> Column:
-    """The index, 0 to n − 1, that resample ``b`` draws into ``slot``: whole-number mixing, the same anywhere."""
-    m = F.lit(2147483647)
+#: Slots drawn at a time; their numbers stay in a core's cache.
+SLOTS = 16_384
+
+
+def drawn(b: int, slot: np.ndarray, n: int) -> np.ndarray:
+    """The indices, 0 to n − 1, that resample ``b`` draws into the slots: whole-number mixing, the same anywhere."""
+    m = 2147483647
     h = ((b * 48271 + slot * 69621 + 12345) % m * 16807 + b) % m
     for shift, times in ((15, 48271), (13, 69621), (16, 16807)):  # without the shifts the draws of a resample hang together
-        h = h.bitwiseXOR(F.shiftright(h, shift)) * times % m
+        h = (h ^ (h >> shift)) * times % m
     return h % n
 
 
-def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> DataFrame:
-    """``b`` bootstrap resamples of the rows of a small or large table: columns ``b`` and ``columns``.
+def _draws(b: int, n: int) -> Iterator[np.ndarray]:
+    """The indices that resample ``b`` draws, in pieces."""
+    for lo in range(0, n, SLOTS):
+        yield drawn(b, np.arange(lo, min(lo + SLOTS, n)), n)
+
+
+def _by_resample(
+    values: DataFrame, order: str, columns: list[Column | str], b: int, schema: T.StructType, work: Callable[[pa.Table, range], Iterator[pa.RecordBatch]]
+) -> DataFrame:
+    """What ``work`` gives for ``columns``, sorted by the unique ``order`` (null last), and some of the resamples 0 to b − 1.
 
-    Rows are numbered by ``order``, a unique whole number; each slot of each resample draws a number, and one join
-    brings the drawn rows: Spark sends the numbered rows to the slots where they are few, so that nothing but sums
-    by ``b`` is shuffled. The work is b × rows, spread over the draws.
+    A shuffle brings all rows to every task, which makes its share of the resamples: neither draws nor rows are joined,
+    broadcast or seen by the driver. No resample depends on how they are shared out. The work is b × rows.
     """
-    numbered = cut(ordered_rank(values, order).select((F.col("rank") - 1).alias("_i"), *columns))
-    n = F.lit(max(numbered.count(), 1))
-    draws = numbered.select(F.col("_i").alias("_slot")).repartition(values.sparkSession.sparkContext.defaultParallelism)
-    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    hit = draws.select("b", drawn(F.col("b").cast("long"), F.col("_slot"), n).alias("_i"))
-    return hit.join(numbered, "_i").select("b", *columns)
+    parts = min(values.sparkSession.sparkContext.defaultParallelism * 2, b)
+    sent = values.select(F.col(order).alias("_order"), *columns).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := list(batches)):
+            return
+        held = pa.Table.from_batches(got)
+        for part in pc.unique(held.column("_part")).to_pylist():
+            mine = held.filter(pc.equal(held.column("_part"), part)).drop_columns("_part")
+            mine = mine.take(pc.sort_indices(mine.column("_order"), null_placement="at_end")).drop_columns("_order")
+            yield from work(mine.combine_chunks(), range(part, b, parts))
+
+    return sent.repartitionById(parts, F.col("_part")).mapInArrow(each, schema)
+
+
+def resamples(values: DataFrame, order: str, columns: list[str], b: int) -> DataFrame:
+    """``b`` bootstrap resamples of the rows of a table: columns ``b`` and ``columns``, a row for each draw."""
+    schema = T.StructType([T.StructField("b", T.IntegerType()), *[values.schema[c] for c in columns]])
+
+    def work(rows: pa.Table, some: range) -> Iterator[pa.RecordBatch]:
+        for k in some:
+            for at in _draws(k, rows.num_rows):
+                hit = rows.take(pa.array(at)).combine_chunks()
+                yield from hit.add_column(0, "b", pa.array(np.full(len(at), k, np.int32))).to_batches()
+
+    return _by_resample(values, order, columns, b, schema, work)
+
+
+def resampled_sums(values: DataFrame, order: str, columns: list[str], b: int) -> DataFrame:
+    """Sums over each of ``b`` bootstrap resamples: ``b``, ``n`` (rows drawn) and of every column its sum as a double
+    (null without a value) and ``n_<column>``, the number of values summed."""
+    schema = T.StructType().add("b", "integer").add("n", "long")
+    for c in columns:
+        schema = schema.add(c, "double").add(f"n_{c}", "long")
+
+    def work(rows: pa.Table, some: range) -> Iterator[pa.RecordBatch]:
+        n = rows.num_rows
+        there = [c.is_valid().to_numpy() if c.null_count else None for c in rows.columns]
+        numbers = [c.fill_null(0.0).to_numpy() for c in rows.columns]
+        sums, counts = np.zeros((len(columns), len(some))), np.full((len(columns), len(some)), n)
+        for j, k in enumerate(some):
+            for at in _draws(k, n):
+                for i, (x, valid) in enumerate(zip(numbers, there)):
+                    sums[i, j] += x.take(at).sum()
+                    if valid is not None:
+                        counts[i, j] -= len(at) - np.count_nonzero(valid.take(at))
+        out = [pa.array(some, pa.int32()), pa.array(np.full(len(some), n))]
+        for x, c in zip(sums, counts):
+            out += [pa.array(x, mask=c == 0), pa.array(c)]
+        yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return _by_resample(values, order, [F.col(c).cast("double").alias(c) for c in columns], b, schema, work)
 
 
 def binomial_interval(df: DataFrame, hits: str, n: str, level: float = 0.95) -> DataFrame:

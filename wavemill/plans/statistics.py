@@ -271,7 +271,8 @@ def _bootstrap(t: Tables, columns: list[str], b: int) -> DataFrame:
 )
 def paired_bootstrap(t: Tables) -> DataFrame:
     """Percentile interval and two-sided p of a paired difference (SMP6, SMP7, JN11, STA5)."""
-    d = _bootstrap(t, ["m1", "m2"], _B).groupBy("b").agg(F.avg(F.col("m1") - F.col("m2")).alias("d"))
+    sums = S.resampled_sums(_suppliers(t).withColumn("d", F.col("m1") - F.col("m2")), "l_suppkey", ["d"], _B)
+    d = sums.select((F.col("d") / F.col("n_d")).alias("d"))
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     two = 2 * F.least(F.count_if(F.col("d") <= 0), F.count_if(F.col("d") >= 0)) + 2
     g = d.agg(q.alias("q"), (two / (2.0 * F.count("*") + 2)).alias("p"))
