@@ -44,3 +44,17 @@ def test_bootstrap_sends_nothing_to_the_driver(spark, tmp_path):
     plan = catalog.QUERIES["paired_bootstrap"](spark, at)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
     both(spark, "paired_bootstrap", at)
+
+
+def test_ratio_and_cluster_bootstrap_without_join(spark, tmp_path):
+    at = folder(tmp_path, lineitem=lineitem(SUPPLIERS))
+    for name in ("ratio_bootstrap", "cluster_bootstrap"):
+        plan = catalog.QUERIES[name](spark, at)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan
+        both(spark, name, at)
+
+
+def test_ratio_bootstrap_over_a_mean_of_zero(spark, tmp_path):
+    at = folder(tmp_path, lineitem=lineitem([f"({k}::bigint, 3::double, {d}::double, 0::double)" for k, d in enumerate((0, 0, 0.01))]))
+    got = both(spark, "ratio_bootstrap", at)  # the upper limit is infinite, the lower one is not
+    assert math.isinf(got["high"][0]) and got["low"][0] == 3

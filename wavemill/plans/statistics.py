@@ -261,10 +261,6 @@ def _drawn(source: str, key: str, b: int) -> str:
     )
 
 
-def _bootstrap(t: Tables, columns: list[str], b: int) -> DataFrame:
-    return S.resamples(_suppliers(t), "l_suppkey", columns, b)
-
-
 @REG.add(
     _SUP + _drawn("s", "l_suppkey", _B) + ", g as (select b, avg(m1 - m2) as x from d group by all) "
     "select round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.975), 9) as high, round(least(1.0, (2 * least(count_if(x <= 0), count_if(x >= 0)) + 2) / (2.0 * count(*) + 2)), 9) as p, quantile_cont(x, 0.975) < 0 as verdict from g"
@@ -286,8 +282,8 @@ def paired_bootstrap(t: Tables) -> DataFrame:
 )
 def cluster_bootstrap(t: Tables) -> DataFrame:
     """Interval of a ratio of cluster sums to cluster counts (SMP8)."""
-    d = _bootstrap(t, ["q", "n"], _B).groupBy("b").agg((F.sum("q") / F.sum("n")).alias("d"))
-    g = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    sums = S.resampled_sums(_suppliers(t).select("l_suppkey", "q", F.col("n").alias("rows")), "l_suppkey", ["q", "rows"], _B)
+    g = sums.select((F.col("q") / F.col("rows")).alias("d")).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     return g.select(*[F.round(F.col("q")[i], 9).alias(c) for i, c in enumerate(("low", "mid", "high"))])
 
 
@@ -296,9 +292,11 @@ def cluster_bootstrap(t: Tables) -> DataFrame:
     "select round(quantile_cont(x, 0.025), 9) as low, round(quantile_cont(x, 0.975), 9) as high, quantile_cont(x, 0.975) <= 1.2 as ok from g"
 )
 def ratio_bootstrap(t: Tables) -> DataFrame:
-    """Interval of a ratio of means over the same resample (SMP9)."""
-    d = _bootstrap(t, ["m0", "m1"], _B).groupBy("b").agg((F.avg("m0") / F.avg("m1")).alias("d"))
-    g = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    """Interval of a ratio of means over the same resample (SMP9); as in SQL, infinite over a mean of 0."""
+    sums = S.resampled_sums(_suppliers(t), "l_suppkey", ["m0", "m1"], _B)
+    m0, m1 = F.col("m0") / F.col("n_m0"), F.col("m1") / F.col("n_m1")
+    ratio = F.when(F.col("m1") == 0, m0 * F.lit(float("inf"))).otherwise(m0 / m1)
+    g = sums.select(ratio.alias("d")).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return g.select(F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"), (F.col("q")[1] <= 1.2).alias("ok"))
 
 
