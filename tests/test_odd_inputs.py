@@ -58,3 +58,36 @@ def test_ratio_bootstrap_over_a_mean_of_zero(spark, tmp_path):
     at = folder(tmp_path, lineitem=lineitem([f"({k}::bigint, 3::double, {d}::double, 0::double)" for k, d in enumerate((0, 0, 0.01))]))
     got = both(spark, "ratio_bootstrap", at)  # the upper limit is infinite, the lower one is not
     assert math.isinf(got["high"][0]) and got["low"][0] == 3
+
+
+def test_icc_bootstrap_without_join(spark, tmp_path):
+    """Against the draws in SQL; a subject without a number is a row like any other, as in icc_two_sessions."""
+    from wavemill.plans.statistics import _TWO, _drawn
+
+    subject = "case when k = 7 then 'sub-x' else 'sub-' || lpad(k::varchar, 3, '0') end"
+    at = folder(
+        tmp_path,
+        recordings=f"select 2 * k + s as rec_id, {subject} as subject, 'ses-t' || (s + 1) as session from range(30) a(k), range(2) b(s)",
+        features="select 2 * k + s as rec_id, c as channel, 5 + k % 9 + (k * 7 + s * 3 + c) % 4 as sd_uv, 1.5 as alpha_theta_ratio from range(30) a(k), range(2) b(s), range(2) d(c) where k <> 11 or s = 0",
+    )
+    query = catalog.QUERIES["icc_bootstrap"](spark, at)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence(0, 9999" not in plan and "cast(b#" not in plan
+    sums = "select b, count(*) as n, sum(a) as a, sum(b_) as b_, sum(pow(a + b_, 2)) as r, sum(a * a + b_ * b_) as q from d group by all"
+    squares = "select *, pow(a + b_, 2) / (2 * n) as c, r / 2 - pow(a + b_, 2) / (2 * n) as ssr, (a * a + b_ * b_) / n - pow(a + b_, 2) / (2 * n) as ssc from e"
+    sql = (
+        _TWO.replace("as b,", "as b_,") + ", y as (select subject_no, a, b_ from x where a is not null and b_ is not null)" + _drawn("y", "subject_no", 10_000)
+        + f", e as ({sums}), g as ({squares}), h as (select (ssr - (q - c - ssr - ssc)) / (ssr + (q - c - ssr - ssc)) as icc from g) "
+        "select round(quantile_cont(icc, 0.025), 6), round(quantile_cont(icc, 0.975), 6) from h"
+    )
+    got = query.first()
+    assert connect(at).execute(sql).fetchone() == (round(got.low, 6), round(got.high, 6)) and got.dropped == 0
+
+
+def test_icc_bootstrap_of_one_subject(spark, tmp_path):
+    at = folder(
+        tmp_path,
+        recordings="select s as rec_id, 'sub-001' as subject, 'ses-t' || (s + 1) as session from range(2) b(s)",
+        features="select s as rec_id, 0 as channel, 5.0 + s as sd_uv, 1.5 as alpha_theta_ratio from range(2) b(s)",
+    )
+    assert tuple(catalog.QUERIES["icc_bootstrap"](spark, at).first()) == (None, None, 10_000, None)

@@ -68,15 +68,32 @@ def icc31(df: DataFrame, key: list[str], subject: str, a: str, b: str) -> DataFr
     Null where fewer than two subjects are left or the denominator is 0.
     """
     full = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    s = full.groupBy(*key).agg(
-        F.count("*").alias("n"), F.sum(a).alias("_a"), F.sum(b).alias("_b"),
-        F.sum(F.pow(F.col(a) + F.col(b), 2)).alias("_r"), F.sum(F.col(a) * F.col(a) + F.col(b) * F.col(b)).alias("_q"),
-    )
-    n, total = F.col("n"), F.col("_a") + F.col("_b")
+    s = full.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(e).alias(f"_{c}") for c, e in _icc_terms(a, b).items()])
+    return s.select(*key, "n", _icc("n").alias("icc"))
+
+
+def _icc_terms(a: str, b: str) -> dict[str, Column]:
+    """What is summed for ICC(3,1): of both sessions the values, the squares of their sum and the sum of their squares."""
+    x, y = F.col(a), F.col(b)
+    return {"a": x, "b": y, "r": F.pow(x + y, 2), "q": x * x + y * y}
+
+
+def _icc(n: str) -> Column:
+    """ICC(3,1) from those sums, ``_a``, ``_b``, ``_r`` and ``_q``, over ``n`` subjects; null where ``icc31`` says so."""
+    n, total = F.col(n), F.col("_a") + F.col("_b")
     correction = total * total / (2 * n)
     ssr, ssc = F.col("_r") / 2 - correction, (F.col("_a") ** 2 + F.col("_b") ** 2) / n - correction
-    msr, mse = ssr / (n - 1), (F.col("_q") - correction - ssr - ssc) / (n - 1)
-    return s.select(*key, "n", F.when((n > 1) & (msr + mse != 0), (msr - mse) / (msr + mse)).alias("icc"))
+    others = F.when(n > 1, n - 1)
+    msr, mse = ssr / others, (F.col("_q") - correction - ssr - ssc) / others
+    return F.when(msr + mse != 0, (msr - mse) / (msr + mse))
+
+
+def resampled_icc(df: DataFrame, subject: str, a: str, b: str, times: int) -> DataFrame:
+    """``icc``, as in ``icc31``, of each of ``times`` bootstrap resamples of the subjects with both sessions."""
+    full = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    terms = {f"_{c}": e for c, e in _icc_terms(a, b).items()}
+    sums = resampled_sums(full.select(subject, *[e.alias(c) for c, e in terms.items()]), subject, list(terms), times)
+    return sums.select("b", _icc("n").alias("icc"))
 
 
 def icc_interval(df: DataFrame, n: str, icc: str, level: float = 0.95) -> DataFrame:

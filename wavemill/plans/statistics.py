@@ -303,8 +303,7 @@ def ratio_bootstrap(t: Tables) -> DataFrame:
 @REG.add()
 def icc_bootstrap(t: Tables) -> DataFrame:
     """Interval of the agreement of two sessions; undefined resamples are dropped and counted (SMP10, STA6)."""
-    x = _two_sessions(t).filter("a is not null and b is not null").select("subject_no", F.col("a").alias("s1"), F.col("b").alias("s2"))
-    d = S.icc31(S.resamples(x, "subject_no", ["subject_no", "s1", "s2"], _B), ["b"], "subject_no", "s1", "s2")
+    d = S.resampled_icc(_two_sessions(t), "subject_no", "a", "b", _B)
     g = d.agg(F.percentile("icc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count_if(F.col("icc").isNull()).alias("dropped"))
     return g.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "dropped", (F.col("q")[0] >= 0.4).alias("verdict"))
 
