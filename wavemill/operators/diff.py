@@ -7,9 +7,7 @@ a partner is missing on the other side.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +17,77 @@ from pyspark.sql import types as T
 
 from wavemill.functions import codes
 from wavemill.functions.lineage import cut
-from wavemill.functions.ranking import salted_rank
 
-#: A key with at most so many leftover rows on either side is paired exactly inside one task.
-EXACT_ROWS = 2_000
+#: More than any distance of a search.
+FAR = 1 << 30
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost; the smaller side is paired whole.
+def transport(costs: Callable[[int], np.ndarray], supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, column, units) of least total cost that use up ``supply``, of which there is no more than ``demand``.
 
-    Shortest augmenting paths with row and column potentials; cubic in the smaller side.
+    ``costs`` gives a row of whole-number costs; only rows that a search looks at are asked for, and none is kept, so that
+    memory grows with rows and columns, not with their product. Shortest augmenting paths with row and column
+    potentials; of columns equally near, one with free units ends the search.
     """
+    n, m = len(supply), len(demand)
+    u, v = np.zeros(n, int), np.zeros(m, int)
+    free = np.array(demand, int)
+    units: list[dict[int, int]] = [{} for _ in range(m)]  # of each column, by row
+    for row in range(n):
+        left = int(supply[row])
+        while left:
+            best, via, seen = np.full(m, FAR), np.full(m, -1), np.zeros(m, bool)
+            at, into = {row: 0}, {}  # distances of the rows reached, and the columns by which they were
+            fresh = [row]
+            while True:
+                for i in fresh:
+                    offer = costs(i) - v
+                    offer += at[i] - u[i]
+                    better = offer < best  # never of a seen column
+                    best[better], via[better] = offer[better], i
+                rest = np.where(seen, FAR, best)
+                near = int(rest.min())
+                tied = np.flatnonzero(rest == near)
+                ends = tied[free[tied] > 0]
+                if len(ends):
+                    last = int(ends[0])
+                    break
+                seen[tied] = True
+                fresh = []
+                for j in tied.tolist():
+                    for i in units[j]:
+                        if i not in at:
+                            at[i], into[i] = near, j
+                            fresh.append(i)
+            for i, d in at.items():
+                u[i] += near - d
+            v[seen] -= near - best[seen]
+            path, j = [], last
+            while True:
+                i = int(via[j])
+                path.append((i, j))
+                if i == row:
+                    break
+                j = into[i]
+            moved = min([left, int(free[last]), *[units[into[i]][i] for i, _ in path[:-1]]])
+            for i, j in path:
+                units[j][i] = units[j].get(i, 0) + moved
+                if i != row:
+                    old = units[into[i]]
+                    old[i] -= moved
+                    if not old[i]:
+                        del old[i]
+            free[last] -= moved
+            left -= moved
+    return [(i, j, k) for j, by in enumerate(units) for i, k in by.items()]
+
+
+def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost; the smaller side is paired whole."""
     if cost.shape[0] > cost.shape[1]:
         return [(i, j) for j, i in assign(cost.T)]
     n, m = cost.shape
-    u, v = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for row in range(n):
-        best, via, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
-        i, last = row, -1
-        while True:
-            offer = cost[i] - u[i] - v
-            if last >= 0:
-                offer = offer + best[last]
-            better = ~seen & (offer < best)
-            best[better], via[better] = offer[better], last
-            last = int(np.argmin(np.where(seen, np.inf, best)))
-            seen[last] = True
-            if owner[last] < 0:
-                break
-            i = int(owner[last])
-        total = best[last]
-        u[row] += total
-        done = seen.copy()
-        done[last] = False
-        u[owner[done]] += total - best[done]
-        v[done] -= total - best[done]
-        while last >= 0:
-            back = int(via[last])
-            owner[last] = row if back < 0 else owner[back]
-            last = back
-    return [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    return [(i, j) for i, j, _ in transport(lambda i: cost[i].astype(int), np.ones(n, int), np.ones(m, int))]
 
 
 def differs(field: str, within: dict[str, float], a: Column, b: Column) -> Column:
@@ -70,18 +98,23 @@ def differs(field: str, within: dict[str, float], a: Column, b: Column) -> Colum
     return F.coalesce(far, ~(a.isNull() & b.isNull()))
 
 
-def _costs(codes: list[tuple[np.ndarray, np.ndarray, float]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The number of fields in which each of the rows ``left`` differs from each of ``right``. A field is its values,
-    where they are null, and from which distance on two of them differ."""
-    cost = np.zeros((len(left), len(right)))
-    for value, null, far in codes:
-        no_a, no_b = null[left][:, None], null[right][None, :]
-        cost += np.where(no_a | no_b, no_a ^ no_b, np.abs(value[left][:, None] - value[right][None, :]) >= far)
-    return cost
+def _costs(codes: list[tuple[np.ndarray, np.ndarray, float]], rows: np.ndarray, columns: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Gives, for one of the rows ``rows``, the number of fields in which each of ``columns`` differs from it. A field is
+    its values, where they are null, and from which distance on two of them differ."""
+    there = [(value[columns], null[columns]) for value, null, _ in codes]
+
+    def row(i: int) -> np.ndarray:
+        cost = np.zeros(len(columns), int)
+        for (value, null, far), (theirs, no) in zip(codes, there):
+            cost += ~no if null[rows[i]] else no | (np.abs(theirs - value[rows[i]]) >= far)
+        return cost
+
+    return row
 
 
 def _solved(rows: DataFrame, keys: list[str], fields: list[str], within: dict[str, float]) -> DataFrame:
-    """The leftover rows of keys in pairs of least total cost, or alone: each task streams through its keys."""
+    """The leftover rows of keys in pairs of least total cost, or alone: each task streams through its keys, of which it
+    holds one at a time. The order of rows, and so the choice among equal totals, depends on the rows alone."""
     n = rows.sparkSession.sparkContext.defaultParallelism * 2
     schema = T.StructType([rows.schema[k] for k in keys])
     for c in ("_has_l", "_has_r"):
@@ -100,12 +133,16 @@ def _solved(rows: DataFrame, keys: list[str], fields: list[str], within: dict[st
             n_l, n_r = t.column("_l").to_numpy(), t.column("_r").to_numpy()
             mine, theirs = [], []
             for lo, hi in zip(starts, np.append(starts[1:], t.num_rows)):
-                at = np.arange(lo, hi)
-                left, right = np.repeat(at, n_l[lo:hi]), np.repeat(at, n_r[lo:hi])
-                pairs = np.array(assign(_costs(codes, left, right)) if len(left) and len(right) else [], int).reshape(-1, 2)
-                alone_l, alone_r = np.delete(left, pairs[:, 0]), np.delete(right, pairs[:, 1])
-                mine += [left[pairs[:, 0]], alone_l, np.full(len(alone_r), -1)]
-                theirs += [right[pairs[:, 1]], np.full(len(alone_l), -1), alone_r]
+                left, right = lo + np.flatnonzero(n_l[lo:hi]), lo + np.flatnonzero(n_r[lo:hi])
+                swap = n_l[left].sum() > n_r[right].sum()
+                few, more, n_few, n_more = (right, left, n_r, n_l) if swap else (left, right, n_l, n_r)
+                found = np.array(transport(_costs(codes, few, more), n_few[few], n_more[more]), int).reshape(-1, 3)
+                x, y = np.repeat(few[found[:, 0]], found[:, 2]), np.repeat(more[found[:, 1]], found[:, 2])
+                spare = n_more[more].copy()
+                np.subtract.at(spare, found[:, 1], found[:, 2])
+                alone, nobody = np.repeat(more, spare), np.full(spare.sum(), -1)
+                mine += [y, alone] if swap else [x, nobody]
+                theirs += [x, nobody] if swap else [y, alone]
             a, b = np.concatenate(mine), np.concatenate(theirs)
             pick_a, pick_b = pa.array(a, mask=a < 0), pa.array(b, mask=b < 0)
             either = pa.array(np.maximum(a, b))
@@ -132,145 +169,7 @@ def _solved(rows: DataFrame, keys: list[str], fields: list[str], within: dict[st
             yield from solved(held, np.zeros(1, int))
 
     ready = rows.select(*keys, *fields, F.col("_l").cast("long").alias("_l"), F.col("_r").cast("long").alias("_r"))
-    return ready.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
-
-
-def _spread(rows: DataFrame, keys: list[str], fields: list[str], count: str) -> DataFrame:
-    """One row for each leftover row of the side that ``count`` counts; ``_id`` names it within its key."""
-    return (
-        rows.filter(F.col(count) > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
-        .select(*keys, *fields, F.struct(*fields, "_copy").alias("_id"))
-    )
-
-
-def _equal(left: DataFrame, right: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
-    """Pairs of rows with equal ``same``, as many as there can be: equal numbers meet, in hash buckets."""
-    group = [*keys, *same]
-    a = salted_rank(left, group, ["_id"]).select(*[F.col(c).alias(f"_a_{c}") for c in group], F.col("_id").alias("_x"), F.col("rank").alias("_ra"))
-    b = salted_rank(right, group, ["_id"]).select(*group, F.col("_id").alias("_y"), F.col("rank").alias("_rb"))
-    on = F.col("_ra") == F.col("_rb")
-    for c in group:
-        on = on & F.col(f"_a_{c}").eqNullSafe(F.col(c))
-    return a.join(b, on).select(*keys, "_x", "_y")
-
-
-def _near(left: DataFrame, right: DataFrame, keys: list[str], same: list[str], near: list[str], within: dict[str, float]) -> DataFrame:
-    """Pairs of rows with equal ``same`` whose ``near`` fields lie within tolerance.
-
-    Rows of both sides stream through in the order of the first near field; a row takes the least waiting row of
-    the other side that agrees. Only rows within tolerance wait, so no task holds a key. With one near field, or
-    where the values of the others fall into clusters narrower than their tolerance, no pairing has more pairs.
-    """
-    limits = [within[f] for f in near]
-    columns = [f"_n{i}" for i in range(len(near))]
-    group = [*[f"_g{i}" for i in range(len(keys))], *[f"_e{i}" for i in range(len(same))], *[f"_u{i}" for i in range(len(near))]]
-
-    def side(df: DataFrame, mine: bool) -> DataFrame:
-        return df.select(
-            *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)],
-            *[F.col(f).alias(f"_e{i}") for i, f in enumerate(same)],
-            *[F.col(f).isNull().alias(f"_u{i}") for i, f in enumerate(near)],  # null agrees with null alone
-            *[F.coalesce(F.col(f), F.lit(0)).alias(c) for f, c in zip(near, columns)],
-            F.lit(mine).alias("_mine"),
-            F.col("_id"),
-        )
-
-    rows = side(left, True).unionByName(side(right, False)).repartition(*group).sortWithinPartitions(*group, *columns, "_mine", "_id")
-    kinds = [left.schema[k].dataType for k in keys]
-    one = left.schema["_id"].dataType
-    out = T.StructType([*[T.StructField(f"_g{i}", kind) for i, kind in enumerate(kinds)], T.StructField("_x", one), T.StructField("_y", one)])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = None
-        waiting: dict[bool, deque] = {True: deque(), False: deque()}
-        for b in batches:
-            found: list[tuple] = []
-            heads = zip(*[b.column(c).to_pylist() for c in group])
-            values = zip(*[b.column(c).to_pylist() for c in columns])
-            for head, at, mine, name in zip(heads, values, b.column("_mine").to_pylist(), b.column("_id").to_pylist()):
-                if head != here:
-                    here, waiting = head, {True: deque(), False: deque()}
-                for queue in waiting.values():
-                    while queue and at[0] - queue[0][0][0] >= limits[0]:
-                        queue.popleft()
-                others = waiting[not mine]
-                for k, (theirs, other) in enumerate(others):
-                    if all(abs(x - y) < limit for x, y, limit in zip(at, theirs, limits)):
-                        del others[k]
-                        found.append((head, name, other) if mine else (head, other, name))
-                        break
-                else:
-                    waiting[mine].append((at, name))
-            cols = [pa.array([h[i] for h, _, _ in found], b.schema.field(f"_g{i}").type) for i in range(len(keys))]
-            cols += [pa.array([f[i] for f in found], b.schema.field("_id").type) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays(cols, out.names)
-
-    return rows.mapInArrow(work, out).select(*[F.col(f"_g{i}").alias(k) for i, k in enumerate(keys)], "_x", "_y")
-
-
-def _staged(
-    rows: DataFrame, keys: list[str], fields: list[str], within: dict[str, float], exact: Callable[[DataFrame], DataFrame], exact_rows: int
-) -> DataFrame:
-    """Pairs of keys too large for one task: first the rows that agree in all fields, then in all but one, and so on.
-
-    Two values agree as in ``differs``. Each stage pairs as many of the rows left as agree in some fields, so no
-    pair agrees in more fields than its stage says. A key of which no more than ``exact_rows`` rows a side are
-    left goes to ``exact``. Every row comes out once. The total number of differing fields is small but, unlike
-    under ``EXACT_ROWS``, not proven least.
-    """
-    left, right = _spread(rows, keys, fields, "_l"), _spread(rows, keys, fields, "_r")
-    done: DataFrame | None = None
-    ended: list[DataFrame] = []
-
-    def off(side: DataFrame, small: DataFrame, how: str) -> DataFrame:
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        return side.join(small, on, how)
-
-    for size in range(len(fields), -1, -1):
-        for some in combinations(fields, size):
-            near, same = [f for f in some if f in within], [f for f in some if f not in within]
-            if size == len(fields) and not near:
-                continue  # equal rows have cancelled
-            pairs = cut(_near(left, right, keys, same, near, within) if near else _equal(left, right, keys, same))
-            if pairs.isEmpty():
-                continue
-            done = pairs if done is None else done.unionByName(pairs)
-            left = cut(_without(left, pairs, keys, "_x"))
-            right = cut(_without(right, pairs, keys, "_y"))
-        if not size:
-            break
-        both = left.select(*keys, *fields, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, *fields, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-        left_over = both.groupBy(*keys).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-        small = cut(left_over.filter(F.greatest("_nl", "_nr") <= exact_rows).select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
-        if not small.isEmpty():
-            ended.append(exact(off(both, small, "left_semi")))
-            left, right = cut(off(left, small, "left_anti")), cut(off(right, small, "left_anti"))
-        if left.isEmpty() or right.isEmpty():
-            break
-    sides = [(left, "_x", "_y"), (right, "_y", "_x")]
-    for side, mine, other in sides:
-        alone = side.select(*keys, F.col("_id").alias(mine), F.lit(None).cast(side.schema["_id"].dataType).alias(other))
-        done = alone if done is None else done.unionByName(alone)
-    out = done.select(
-        *keys,
-        F.col("_x").isNotNull().alias("_has_l"),
-        F.col("_y").isNotNull().alias("_has_r"),
-        *[F.col(f"{s}.{f}").alias(f"{p}{f}") for f in fields for s, p in (("_x", "_l_"), ("_y", "_r_"))],
-    )
-    for part in ended:
-        out = out.unionByName(part)
-    return out
-
-
-def _without(side: DataFrame, pairs: DataFrame, keys: list[str], taken: str) -> DataFrame:
-    gone = pairs.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col(taken).alias("_gone"))
-    on = F.col("_id") == F.col("_gone")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    return side.join(gone, on, "left_anti")
+    return ready.repartition(n, *keys).sortWithinPartitions(*keys, *fields).mapInArrow(work, schema)
 
 
 def pair_rows(
@@ -279,7 +178,7 @@ def pair_rows(
     keys: list[str],
     fields: list[str],
     within: dict[str, float] | None = None,
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int | None = None,
 ) -> DataFrame:
     """The rows of two tables that do not cancel, in pairs.
 
@@ -287,6 +186,8 @@ def pair_rows(
     fields that count as different only from that distance on. Columns other than keys and fields are ignored,
     whatever their names. Null keys form a key of their own; null equals null in a field, and NaN null. An empty
     table makes every row of the other one a row without partner. Repeated rows count as often as they occur.
+    A key of any size is paired at least cost in one task; ``exact_rows``, once the size up to which that was done, has
+    no effect.
     """
     within = within or {}
 
@@ -316,21 +217,13 @@ def pair_rows(
         (F.col("_nr") > 0).alias("_has_r"),
         *[F.col(f"{s}.{f}").alias(f"{p}{f}") for f in fields for s, p in (("_a", "_l_"), ("_b", "_r_"))],
     )
-    many = cut(per_key.filter(~few).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_nl", "_nr"))
+    many = cut(per_key.filter(~few).select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
     if many.isEmpty():
         return plain
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    block = rest.join(many, on).drop(*[f"_k_{k}" for k in keys])
-    bounded = F.greatest("_nl", "_nr") <= exact_rows
-
-    def exact(rows: DataFrame) -> DataFrame:
-        return _solved(rows, keys, fields, within)
-
-    result = plain.unionByName(exact(block.filter(bounded)))
-    large = cut(block.filter(~bounded).select(*keys, *fields, "_l", "_r"))
-    return result if large.isEmpty() else result.unionByName(_staged(large, keys, fields, within, exact, exact_rows))
+    return plain.unionByName(_solved(rest.join(many, on), keys, fields, within))
 
 
 def field_differences(
