@@ -266,9 +266,9 @@ def bipolar(t: Tables) -> DataFrame:
 )
 def edge_trim(t: Tables) -> DataFrame:
     """Series without eight samples at either end (PRJ2); NaN, as 0/0 in SQL, where all that is left is 0."""
-    s = _clean(t)
+    s = B.sent_samples(t.samples)
     e = s.groupBy(*KEY).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    inside = s.join(e, KEY).filter(F.col("idx").between(F.col("lo") + 8, F.col("hi") - 8))
+    inside = s.join(e, KEY).filter(F.col("idx").between(F.col("lo") + 8, F.col("hi") - 8)).distinct()  # in the shuffle of the join
     sums = inside.groupBy(*KEY).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.max(F.abs("x")).alias("most"))
     share = F.when(F.col("most") == 0, F.lit(float("nan"))).otherwise(F.col("mean") / F.col("most"))
     return sums.select(*KEY, "n", F.round(share, 6).alias("mean"))
